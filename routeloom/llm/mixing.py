@@ -121,7 +121,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
         each, more = F.floor(q / n), F.pmod(q, n)
         return run["copies_before"] + i * each + F.floor((i + s) * more / n) - F.floor(s * more / n)
 
-    taken = F.when(F.col("size") > 0, taken_before(end) - taken_before(end - F.col("size"))).otherwise(0).cast("long")
+    bounds = F.transform(F.array(end - F.col("size"), end), taken_before)  # the same expression for both, so the generated code stays small
+    taken = F.when(F.col("size") > 0, bounds[1] - bounds[0]).otherwise(0).cast("long")
     return rows.select(key, "size", "source_size", "target", taken.alias("taken"), "source")
 
 
