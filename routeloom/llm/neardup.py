@@ -9,8 +9,10 @@ left out (the allowed error), so all such pairs share a key: a distance of 15 of
 
 No group is expanded into all pairs. Documents with equal sets are one class with one representative. Representatives that
 share a key are first compared with three pivots of the key; the confirmed links give components. Only pairs that share a
-key and lie in different components after that can still matter; those are compared unless their sizes, or their distances
-to a common pivot (Jaccard distance is a metric), rule the link out. Every link between components is thus found.
+key and lie in different components after that can still matter; those are compared unless their sizes, their distances to
+a common pivot (Jaccard distance is a metric), or the Hamming distance of longer signatures of BITS one-bit symbols rule the
+link out. That last limit lies five standard deviations above the mean distance of a pair at the threshold. Every link
+between components is thus found, but for such a chance.
 
 Defined results: null or empty text, or text without words, has an empty set, is linked with nothing and stays; a text with
 fewer words than a shingle has its whole word sequence as its one shingle; repeated rows have the same component; null ids
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,9 @@ _XOR = _RNG.integers(0, 1 << 64, VALUES, np.uint64)
 _MUL = _RNG.integers(0, 1 << 64, VALUES, np.uint64) | np.uint64(1)
 _ODD = _RNG.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 _CACHE = 400_000
+BITS = 1024
+_XOR_BITS = _RNG.integers(0, 1 << 64, BITS, np.uint64)
+_MUL_BITS = _RNG.integers(0, 1 << 64, BITS, np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +82,38 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype("<u2")
 
 
+def long_signature(shingles: np.ndarray) -> np.ndarray:
+    """BITS one-bit symbols as signed 64-bit words."""
+    low = np.full(BITS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(shingles), 256):
+        low = np.minimum(low, ((shingles[i : i + 256, None] ^ _XOR_BITS) * _MUL_BITS).min(0))
+    bits = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def long_signatures(sets: DataFrame) -> DataFrame:
+    """(id, s0, s1, ..., chunks) of (id, shingles): the words of the long signature and the chunks of the short one."""
+    words, chunks = BITS // 64, VALUES // CHUNK
+    names = [*(f"s{i}" for i in range(words)), *(f"c{i}" for i in range(chunks))]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            made = [np.concatenate([long_signature(s), signature(s).view(np.int64)]) for s in (np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1))]
+            made = np.array(made, np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(len(names)))], ["id", *names])
+
+    made = sets.select("id", "shingles").mapInArrow(run, T.StructType([sets.schema["id"], *(T.StructField(c, T.LongType()) for c in names)]))
+    return made.select("id", *names[:words], F.array(*names[words:]).alias("chunks"))
+
+
+def first_shared_key(key: Column) -> Column:
+    """Whether the key is the first of those that rows x and y share: no earlier chunk agrees up to one symbol."""
+    chunk, out = F.shiftrightunsigned(key, 50).cast("int"), F.shiftrightunsigned(key, 48).bitwiseAND(3)
+    differ = F.zip_with("x.chunks", "y.chunks", lambda p, q: p.bitwiseXOR(q))
+    lanes = lambda d: sum(((F.shiftrightunsigned(d, 16 * j).bitwiseAND(0xFFFF) == 0).cast("int") for j in range(CHUNK)), F.lit(0))
+    return ~F.exists(F.slice(differ, F.lit(1), chunk), lambda d: lanes(d) >= CHUNK - 1) & ((out == 0) | (F.element_at(differ, chunk + 1) != 0))
+
+
 def sketches(docs: DataFrame, k: int, key: str) -> DataFrame:
     """(key, n, digest, signature) of each row; digest and signature are null for an empty set."""
     schema = T.StructType([docs.schema[key], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType())])
@@ -113,18 +150,32 @@ def index_keys(reps: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, n) of each pair: sizes of the intersection and the union of their full sets."""
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("common", T.LongType()), T.StructField("n", T.LongType())])
+    """(a, b, common, n) of each pair: sizes of the intersection and the union of their full sets.
+
+    Ids are dealt into blocks of about 256. A set travels once to each pair of blocks that needs it, not once to each pair.
+    """
+    blocks = max(8, sets.count() // 256)
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(blocks))
+    dealt = pairs.select("a", "b", block("a").alias("x"), block("b").alias("y"))
+    needed = dealt.select("x", "y", F.col("a").alias("id")).union(dealt.select("x", "y", F.col("b").alias("id"))).distinct().join(sets, "id")
+    rows = needed.select("x", "y", F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), "shingles")
+    rows = rows.union(dealt.select("x", "y", F.lit(1), "a", "b", F.lit(None).cast("binary")))
+    rows = rows.repartition("x", "y").sortWithinPartitions("x", "y", "kind")
+    schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("common", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            common, union = [], []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common.append(len(np.intersect1d(p, q, True)))
-                union.append(len(p) + len(q) - common[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(common, pa.int64()), pa.array(union, pa.int64())], schema.names)
+        here, held = None, {}
+        for batch in it:
+            out: list[tuple] = []
+            for x, y, kind, a, b, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if (x, y) != here:
+                    here, held = (x, y), {}
+                if kind == 0:
+                    held[a] = np.frombuffer(shingles, np.uint64)
+                elif a in held and b in held:
+                    common = len(np.intersect1d(held[a], held[b], True))
+                    out.append((a, b, common, len(held[a]) + len(held[b]) - common))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, [batch.column(3).type, batch.column(4).type, pa.int64(), pa.int64()])], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -159,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     links = tested.filter(linked).select("a", "b")
     labels = components(links)
 
-    more = open_pairs(members, labels, tested, percent)
+    more = open_pairs(members, labels, tested, sets, percent)
     more = stage(more.join(tested, ["a", "b"], "left_anti"), "open-pairs")
     if not more.isEmpty():
         links = links.union(confirmed(more, sets).filter(linked).select("a", "b"))
@@ -171,7 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     return linked_rows.union(alone).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+def open_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a key, lie in different components and may still be links."""
     rows = members.join(labels, members.rep == labels.node, "left").select("key", "rep", "n", "pivots", F.coalesce("label", "rep").alias("label"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
@@ -180,13 +231,19 @@ def open_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, percent
     arms = arms.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(tested.withColumnRenamed("n", "union"), ["a", "b"], "left")
     near = F.when(F.col("rep") == F.col("pivot"), 1.0).otherwise(F.col("common") / F.col("union"))
     at = arms.groupBy("key", "rep", "n", "label").agg(*[F.max(F.when(F.col("at") == i, near)).alias(f"j{i}") for i in range(3)])
+    marks = long_signatures(sets.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    at = stage(at.join(marks, at.rep == marks.id).drop("id"), "mixed-members")
     x, y = at.alias("x"), at.alias("y")
     close = F.col("x.key") == F.col("y.key")
     close &= (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
     close &= 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     for i in range(3):  # the distance of the two is at least the difference of their distances to a pivot
         close &= F.abs(F.col(f"x.j{i}") - F.col(f"y.j{i}")) <= (100 - percent) / 100 + 1e-9
-    return x.join(y, close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    differ = (100 - percent) / 200
+    limit = int(BITS * differ + 5 * (BITS * differ * (1 - differ)) ** 0.5) + 1
+    close &= sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(BITS // 64)), F.lit(0)) <= limit
+    close &= first_shared_key(F.col("x.key"))
+    return x.join(y, close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
