@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_text, langid, mixing, neardup, packing, pii, topk, url_filter
+from . import fingerprint, html_text, katz, langid, mixing, neardup, packing, pii, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neardup": neardup.op4_neardup,
     "op5_fingerprint": fingerprint.op5_fingerprint,
     "op6_html": html_text.op6_html,
+    "op7_katz": katz.op7_katz,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
