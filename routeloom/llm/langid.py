@@ -29,9 +29,11 @@ from ._common import crc_mod, table
 
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
-MAX_PIECE = 10
+MAX_PIECE = 8
 FLOOR = 1e-7  # probability of a letter, or of a piece never seen in a language
-CACHE = 200_000
+CACHE = 250_000
+LONG = 48  # words of more letters are scored one by one
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -137,6 +139,60 @@ class Scorer:
         for piece in [p for p in table if len(p) == 1]:
             table[piece] = [max(p, FLOOR) for p in table[piece]]
         self.table, self.known, self.rows = table, {}, np.zeros((CACHE, max(1, len(models))))
+        hashes = np.array([self._hash(p) for p in table], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = np.append(hashes[order], np.uint64(0))
+        # the last row stands for no piece
+        self.probabilities = np.concatenate([np.array(list(table.values()), float).reshape(-1, max(1, len(models)))[order], np.zeros((1, max(1, len(models))))])
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(_BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of many words of at most LONG letters: the forward pass over all words at once."""
+        words = [START + w for w in words]
+        n, k = len(words), len(self.languages)
+        lengths = np.array([len(w) for w in words])
+        order = np.argsort(-lengths, kind="stable")
+        lengths, most = lengths[order], int(lengths.max())
+        codes = np.zeros((most, n), np.uint64)  # a row for each position, words by falling length
+        for i, j in enumerate(order):
+            codes[: lengths[i], i] = np.frombuffer(words[j].encode("utf-32-le"), np.uint32)
+        prefix = np.zeros((most + 1, n), np.uint64)
+        power = [np.uint64(1)]
+        with np.errstate(over="ignore"):
+            for i in range(most):
+                prefix[i + 1] = prefix[i] * _BASE + codes[i]
+                power.append(power[-1] * _BASE)
+        sums: dict[int, np.ndarray] = {0: np.ones((n, k))}
+        logs, out = np.zeros(n), np.zeros((n, k))
+        for end in range(1, most + 1):
+            m = int(np.searchsorted(-lengths, -end, "right"))  # words that reach this position
+            total = np.zeros((m, k))
+            for start in range(max(0, end - MAX_PIECE), end):
+                with np.errstate(over="ignore"):
+                    h = prefix[end, :m] - prefix[start, :m] * power[end - start]
+                at = np.searchsorted(self.hashes[:-1], h)
+                at = np.where(self.hashes[at] == h, at, len(self.hashes) - 1)
+                p = self.probabilities[at]
+                if end - start == 1:
+                    p = np.where((at == len(self.hashes) - 1)[:, None], FLOOR, p)
+                total += sums[start][:m] * p
+            sums[end] = total
+            sums.pop(end - MAX_PIECE, None)
+            low = np.flatnonzero(total.max(1) < 1e-100)
+            if len(low):
+                top = total[low].max(1)
+                logs[low] += np.log(top)
+                for v in sums.values():
+                    v[low] /= top[:, None]
+            done = slice(int(np.searchsorted(-lengths, -end, "left")), m)
+            out[order[done]] = logs[done, None] + np.log(np.maximum(total[done], 1e-300))
+        return out
 
     def word(self, w: str) -> list[float]:
         """Log probabilities of a word in each language, scaled on the way so that long words don't vanish."""
@@ -159,24 +215,33 @@ class Scorer:
                 logs += math.log(top)
         return [logs + math.log(max(x, 1e-300)) for x in sums[-1]]
 
-    def text(self, text: str | None) -> tuple[str, float]:
-        """The language and its posterior probability among the learned ones."""
-        words = words_of(text) if text and self.languages else ()
-        if not words:
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Of each text the language and its posterior probability among the learned ones."""
+        split = [words_of(t) if t and self.languages else [] for t in texts]
+        known, rows, out = self.known, self.rows, []
+        for lo in range(0, len(split), 200):
+            some = split[lo : lo + 200]
+            distinct = set().union(*some)
+            new = distinct.difference(known)
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = distinct
+            if len(new) > CACHE:  # more different words than the cache holds: text by text, word by word
+                out += [self._result(sum((np.array(self.word(w)) for w in words), np.zeros(len(self.languages))) if words else None) for words in some]
+                continue
+            short = [w for w in new if len(w) <= LONG]
+            if short:
+                rows[len(known) : len(known) + len(short)] = self.words(short)
+                known.update(zip(short, range(len(known), len(known) + len(short))))
+            for w in new.difference(known):
+                rows[len(known)] = self.word(w)
+                known[w] = len(known)
+            out += [self._result(rows[[known[w] for w in words]].sum(0) if words else None) for words in some]
+        return out
+
+    def _result(self, total: np.ndarray | None) -> tuple[str, float]:
+        if total is None:
             return "und", 0.0
-        known, rows, total = self.known, self.rows, np.zeros(len(self.languages))
-        at = []
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                if len(known) == CACHE:
-                    total += rows[at].sum(0)
-                    at = []
-                    known.clear()
-                i = known[w] = len(known)
-                rows[i] = self.word(w)
-            at.append(i)
-        total += rows[at].sum(0)
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
@@ -189,7 +254,7 @@ def identify(docs: DataFrame, models: dict[str, dict[str, float]], text: str = "
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in it:
-            found = [scorer.text(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            found = scorer.texts(b.column(b.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
