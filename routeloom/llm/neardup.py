@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     more = open_pairs(members, labels, tested, sets, percent)
     more = stage(more.join(tested, ["a", "b"], "left_anti"), "open-pairs")
     if not more.isEmpty():
-        links = links.union(confirmed(more, sets).filter(linked).select("a", "b"))
+        links = links.union(stage(confirmed(more, sets).filter(linked).select("a", "b"), "more-links"))
         labels = components(links)
 
     found = reps.join(labels, reps.rep == labels.node, "left").select(F.col("digest").alias("_digest"), F.coalesce("label", "rep").alias("component_id"))
