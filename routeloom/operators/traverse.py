@@ -20,6 +20,7 @@ def closure(seeds: DataFrame, edges: DataFrame, keep: Column | None = None, max_
     Each round joins the last level with the edges and drops pairs that are known. Extra seed columns, such as the flow's
     method, go along and may be used by keep, which decides whether an edge is followed.
     """
+    edges = staged(edges, "edges")  # read once for each level, derived once
     extra = [c for c in seeds.columns if c not in ("root", "node")]
     found = level = staged(seeds.distinct().withColumn("depth", F.lit(0)), "level")
     depth = 0
@@ -40,6 +41,7 @@ def paths(pairs: DataFrame, edges: DataFrame, depth: int = 10, limit: int = 10)
     First a backward search gives each node's distance to the target. The forward walk keeps only steps from which the target
     can still be reached in time, and a pair is done once a level has completed enough paths.
     """
+    edges = staged(edges.select("src", "dst", "id"), "edges")
     pairs = staged(pairs.select("source", "target").filter("source <> target").distinct(), "pairs")
     back = closure(pairs.select(F.col("target").alias("root"), F.col("target").alias("node")).distinct(), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_depth=depth)
     near = staged(back.groupBy("root", "node").agg(F.min("depth").alias("left")), "near")
@@ -64,6 +66,7 @@ def paths(pairs: DataFrame, edges: DataFrame, depth: int = 10, limit: int = 10)
 
 def raise_to_fixpoint(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, rank): the highest rank of a node and of all that it calls, from rows (node, rank) and edges (src, dst)."""
+    edges = staged(edges.select("src", "dst"), "edges")
     found = staged(rows.groupBy("node").agg(F.max("rank").alias("rank")), "ranks")
     level = found
     while True:
