@@ -42,7 +42,7 @@ class Tokens:
     """Token ids of texts as little-endian 16-bit bytes, from a byte-level BPE file of the tokenizers library.
 
     The file's vocabulary is run by tiktoken, which gives the same ids several times faster; texts that hold a special
-    token's string go to the tokenizers library itself.
+    token's string go to the tokenizers library itself, whose model stays in memory only from then on.
     """
 
     def __init__(self, path: str):
@@ -50,19 +50,22 @@ class Tokens:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        if self.model.get_vocab_size() > 1 << 16:
+        self.load, self.model = lambda: Tokenizer.from_file(path), None
+        model = self.load()
+        if model.get_vocab_size() > 1 << 16:
             raise ValueError("a vocabulary of at most 65,536 ids is needed")
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in model.get_added_tokens_decoder().values()]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes these bytes as themselves, others from 256 on
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
-        ranks = {bytes(byte[c] for c in t): i for t, i in self.model.get_vocab().items() if t not in self.special}
+        ranks = {bytes(byte[c] for c in t): i for t, i in model.get_vocab().items() if t not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, without special ones added."""
-        plain = not any(s in text for s in self.special)
-        return np.array(self.fast(text) if plain else self.model.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        if not any(s in text for s in self.special):
+            return np.array(self.fast(text), "<u2").tobytes()
+        self.model = self.model or self.load()
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 def sent(rounds: int, source_tokens: int, all_tokens: int, window: int, grain: int) -> int:
