@@ -103,3 +103,26 @@ def match_score(pattern: Column, path: Column) -> Column:
     fits = (F.size(q) >= n) & (tail | (F.size(q) == F.size(p))) & ~F.exists(pairs, lambda s: s.isNull()) & (literals > 0)
     root = pattern.isin("/", "/{$}")
     return F.when(root, F.when(path == "/", 3)).when(fits, F.aggregate(pairs, F.lit(0), lambda a, s: a + s) + tail.cast("int"))
+
+
+def positional(sql: Column) -> Column:
+    """Placeholders ? and :name as $1, $2, ...; quoted text and casts (::) stay."""
+    tokens = F.regexp_extract_all(sql, F.lit(r"'[^']*'|::|:[A-Za-z_][A-Za-z0-9_]*|\?|[^'?:]+|."), F.lit(0))
+    hole = lambda t: t.rlike(r"^(\?|:[A-Za-z_].*)$")
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        n = acc["n"] + hole(t).cast("int")
+        return F.struct(n.alias("n"), F.array_append(acc["out"], F.when(hole(t), F.concat(F.lit("$"), n.cast("string"))).otherwise(t)).alias("out"))
+
+    return F.aggregate(tokens, start, step, lambda acc: F.array_join(acc["out"], ""))
+
+
+def resolved(values: Column) -> Column:
+    """Whether a sink's values are all known: there are some, and none has an unknown part."""
+    return (F.size(values) > 0) & ~F.exists(values, lambda v: v.contains("{?}"))
+
+
+def request_shape(path: Column) -> Column:
+    """A route's path with unnamed parameters, for comparing requests."""
+    return F.regexp_replace(path, r"\{[^}]*\}", "{}")
