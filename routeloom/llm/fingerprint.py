@@ -11,7 +11,7 @@ Each document is also compared with the next one by id, and with its own edited
 sorted, so that the next row is at hand; only the first and last row of each partition meet in a second, small step.
 
 Defined results: null text counts as empty; an empty text has the fingerprint ``3::`` and likeness 1 with another empty
-text, 0 with any other; rows with equal ids follow each other by text; null ids come first; the last row's next is the
+text, 0 with any other; rows with equal ids follow each other by a hash of the text, then by text; null ids come first; the last row's next is the
 first; a single row is its own next; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -166,12 +166,14 @@ def compare_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         if held is not None:
             yield arrays([[held[0]], [0], [""], [held[2]], [""], [0.0], [0.0]], part, [None], [held[1]])
 
-    rows = stage(docs.repartitionByRange(F.col(key).asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col(key).asc_nulls_first(), "text").mapInArrow(run, schema), "fingerprints")
+    # rows of one id are ordered by a hash first: the ranges are found from samples of the keys, which shouldn't hold texts
+    order = [F.col(key).asc_nulls_first(), F.xxhash64("text")]
+    rows = stage(docs.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(run, schema), "fingerprints")
     # two rows for each partition, with their texts
     firsts = rows.filter("first IS NOT NULL").select(F.col("part").alias("next_part"), F.col("first").alias("next_text"), F.col("fingerprint").alias("next_print"))
-    order = W.partitionBy(F.lit(0)).orderBy("part")
+    by_part = W.partitionBy(F.lit(0)).orderBy("part")
     parts = rows.filter("first IS NOT NULL").select("part")
-    parts = parts.withColumn("next_part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)))
+    parts = parts.withColumn("next_part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)))
     ends = rows.filter("last IS NOT NULL").select(key, F.col("last"), "fingerprint", "part").join(parts, "part").join(firsts, "next_part")
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
