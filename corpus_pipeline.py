@@ -36,18 +36,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the words that the mix takes: a document occurs once for each whole or partial repeat, at most three times.
+    """Takes the blocks of words that the mix takes: a document occurs at most three times.
 
-    The rows of a document differ in text only: whole copies, then one with as many first words as are left.
+    The rows of a document differ in text only: the n-th has the words of its blocks that are taken n times or more.
     """
-    shares = mixing.mix(docs.select("doc_id", "text", "source")).filter("taken > 0")
-    shares = stage(shares.groupBy("doc_id").agg(F.max("taken").alias("taken"), F.max("size").alias("size")), "shares")
+    shares = mixing.mix(docs.select("doc_id", "text", "source", F.col("doc_id").alias("_row")), row="_row").filter("taken > 0")
+    shares = stage(shares.groupBy("doc_id").agg(F.max("first").alias("first"), F.max("copies").alias("copies")), "shares")
     rows = docs.join(shares, "doc_id")
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("long")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size"))
-    part = mixing.first_words(F.col("text"), words)
-    rows = rows.withColumn("text", F.when(words == F.col("size"), F.col("text")).otherwise(part))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("copies"))))
+    rows = rows.withColumn("text", mixing.taken_words(F.col("text"), F.col("first"), F.col("copies"), F.col("_copy")))
     return (rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows).select(docs.columns)
 
 

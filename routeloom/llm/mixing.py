@@ -75,10 +75,16 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), mos
     return rows.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 32, shards: int = 64, docs_per_bucket: int = 1_000_000, buckets: int = 64, key: str = "doc_id") -> DataFrame:
-    """(key, size, source_size, target, taken, source) for every row of docs (key, text, source)."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 32, shards: int = 64, docs_per_bucket: int = 1_000_000, buckets: int = 64, key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(key, size, source_size, target, taken, source) for every row of docs (key, text, source).
+
+    With ``row``, the name of a column that tells rows apart, also that column and the selection itself: ``first``, the words
+    of the row's first block that belong to rows before it, and ``copies``, how often each block that the row touches is
+    taken (null without words). Rows of one id and size are then ordered by their text.
+    """
     spread = buckets + docs.count() // docs_per_bucket
-    sized = docs.select(F.col(key), "source", word_count(F.col("text")).alias("size"))
+    own = [] if row is None else [F.col(row), F.xxhash64("text").alias("text_hash")]
+    sized = docs.select(F.col(key), "source", word_count(F.col("text")).alias("size"), *own)
     sized = sized.withColumns({"order": seeded(F.col(key)), "key_text": F.coalesce(F.col(key).cast("string"), F.lit("~"))})
     sized = stage(sized.withColumn("bucket", F.pmod("order", F.lit(spread))), "mix-sizes")
     cells = sized.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size"))
@@ -103,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
 
     cells = cells.join(plans, F.col("source").eqNullSafe(F.col("_planned")))
     cells = cells.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "cell_start", "source_size", "target", "shard_blocks", "plan")
-    inside = W.partitionBy("source", "bucket").orderBy("order", "key_text", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "bucket").orderBy("order", "key_text", "size", *([] if row is None else ["text_hash", row])).rowsBetween(W.unboundedPreceding, 0)
     rows = sized.withColumn("_end", F.sum("size").over(inside))
     rows = rows.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
     end = F.col("cell_start") + F.col("_end")
@@ -123,13 +129,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
 
     bounds = F.transform(F.array(end - F.col("size"), end), taken_before)  # the same expression for both, so the generated code stays small
     taken = F.when(F.col("size") > 0, bounds[1] - bounds[0]).otherwise(0).cast("long")
-    return rows.select(key, "size", "source_size", "target", taken.alias("taken"), "source")
+    found = [key, "size", "source_size", "target", taken.alias("taken"), "source"]
+    if row is not None:
+        touched = F.sequence(F.floor((end - F.col("size")) / block), F.floor((end - 1) / block))
+        copies = F.transform(touched, lambda b: (_copies_before(b + 1) - _copies_before(b)).cast("int"))
+        found += [row, F.pmod(end - F.col("size"), F.lit(block)).cast("int").alias("first"), F.when(F.col("size") > 0, copies).alias("copies")]
+    return rows.select(*found)
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word; n is at most its number of words."""
+def taken_words(text: Column, first: Column, copies: Column, copy: Column, block: int = 32) -> Column:
+    """The words of the blocks that are taken at least ``copy`` times, in order; the text as it is if these are all."""
     words = F.regexp_extract_all(text, F.lit(WORD_AND_SPACE), F.lit(0))
-    return F.rtrim(F.array_join(F.slice(words, F.lit(1), n.cast("int")), ""))
+    words = F.filter(words, lambda w, i: F.get(copies, F.floor((i + first) / block).cast("int")) >= copy)
+    part = F.regexp_replace(F.array_join(words, ""), r"^[\x20\x09-\x0D]+", "")
+    return F.when(F.array_min(copies) >= copy, text).otherwise(part)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
