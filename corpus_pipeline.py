@@ -15,6 +15,11 @@ from routeloom.llm._common import stage, table
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds _row, a number that tells rows apart; written, so that all readers see the same numbers."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: no letters, or no language above MIN_LANGUAGE_SCORE."""
     models = langid.fit(docs.select("text", "lang", langid.sample_order(F.col("doc_id")).alias("order")))
@@ -36,13 +41,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the blocks of words that the mix takes: a document occurs at most three times.
+    """Takes the blocks of words that the mix takes: a row of docs gives at most three.
 
-    The rows of a document differ in text only: the n-th has the words of its blocks that are taken n times or more.
+    They differ in text only: the n-th has the words of the row's blocks that are taken n times or more. Rows with a null or
+    a repeated id have shares of their own.
     """
-    shares = mixing.mix(docs.select("doc_id", "text", "source", F.col("doc_id").alias("_row")), row="_row").filter("taken > 0")
-    shares = stage(shares.groupBy("doc_id").agg(F.max("first").alias("first"), F.max("copies").alias("copies")), "shares")
-    rows = docs.join(shares, "doc_id")
+    rows = keyed(docs)
+    shares = mixing.mix(rows.select("doc_id", "text", "source", "_row"), row="_row").filter("taken > 0")
+    rows = rows.join(stage(shares.select("_row", "first", "copies"), "shares"), "_row")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("copies"))))
     rows = rows.withColumn("text", mixing.taken_words(F.col("text"), F.col("first"), F.col("copies"), F.col("_copy")))
     return (rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows).select(docs.columns)

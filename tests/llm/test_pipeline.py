@@ -51,3 +51,20 @@ def test_mixing_keeps_the_blocks_that_the_mix_takes(spark):
     under = [x for x in shares if 0 < x.taken < x["size"]]
     text = {d: t.split() for d, t, *_ in rows}
     assert any(got[text[x.doc_id][-1]] for x in under)  # ends of cut documents come through
+
+
+def test_mixing_gives_each_row_its_own_share(spark):
+    r = random.Random(8)
+    ids = [None] * 12 + [5] * 12 + list(range(10, 22))  # null ids, and one id with a third of all rows and different texts
+    rows = [(d, " ".join(f"r{i}w{j}" for j in range(r.choice([3, 40, 300]))), "en", "abc"[i % 3], 0) for i, d in enumerate(ids)] + [(5, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = corpus_pipeline.mixed(spark, docs, "").collect()
+    targets = {x.source: x.target for x in mixing.mix(docs).collect()}
+    words, owner, repeats = Counter(), {w: (d, s) for d, t, _, s, _ in rows for w in (t or "").split()}, Counter()
+    for x in out:
+        words[x.source] += len(x.text.split())
+        assert {owner[w] for w in x.text.split()} == {(x.doc_id, x.source)}
+        assert len({w.split("w")[0] for w in x.text.split()}) == 1
+        repeats[x.text.split()[0].split("w")[0]] += 1
+    assert all(abs(words[s] - targets[s]) <= 64 for s in targets)  # a block or two of rounding
+    assert max(repeats.values()) <= 3 and any(x.doc_id is None for x in out)
