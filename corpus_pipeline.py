@@ -28,10 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by five-word shingles at 0.8."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), 5, 80)
-    dropped = stage(found.filter("NOT kept").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group linked by five-word shingles at 0.8: by the smallest id, then by a hash of the text.
+
+    Rows are linked by a key of their own, so repeated rows are one group and null ids, which come last, are linked too.
+    """
+    rows = keyed(docs)
+    found = stage(neardup.near_duplicates(rows.select("_row", "text"), 5, 80, "_row").select("_row", "component_id"), "groups")
+    grouped = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    found = found.join(grouped, "component_id", "left_semi")
+    ranked = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_rank")).join(found, "_row")
+    kept = ranked.groupBy("component_id").agg(F.min("_rank")["_row"].alias("_kept"))
+    dropped = stage(found.join(kept, "component_id").filter("_row <> _kept").select("_row"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

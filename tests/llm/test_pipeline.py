@@ -68,3 +68,14 @@ def test_mixing_gives_each_row_its_own_share(spark):
         repeats[x.text.split()[0].split("w")[0]] += 1
     assert all(abs(words[s] - targets[s]) <= 64 for s in targets)  # a block or two of rounding
     assert max(repeats.values()) <= 3 and any(x.doc_id is None for x in out)
+
+
+def test_near_duplicates_keep_one_row_of_a_group(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(r.choices([f"w{i}" for i in range(60)], k=80))
+    a, b, c, d = (text() for _ in range(4))
+    near = a.replace(a.split()[0], "other", 1)
+    given = [(7, a), (7, a), (None, a), (3, near), (None, b), (None, b), (4, c), (4, c), (4, d), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in given], DOCS)
+    got = sorted(((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, near), (None, b), (4, c), (4, d), (8, "")], key=str)
