@@ -1,15 +1,20 @@
 """Main text of web pages by equivalence-class template deduction.
 
-The structural tokens of a page are its tags with their classes and ids. Over the pages of a host each token has an
-occurrence vector (how often it occurs on each page); tokens with the same vector form an equivalence class. A class is
-valid if it covers most pages of the host. Valid classes whose tokens occur once on a page nest into the host's template:
-an opening token and its closing one enclose a slot. A slot that holds the same text on all pages belongs to the template;
-of the others, the main slot is an article or main element if the template has one, else the innermost slot that holds
-most of the words outside links. Hosts with fewer than MIN_PAGES pages, or without a valid slot, use the template that the
-same rules give over all hosts; a page in which the main slot doesn't occur is taken from its body.
+The structural tokens of a page are its tags with their classes and ids; an opening token has a closing one, which is implied
+where an element is left open. Over the pages of a host each label has an occurrence vector (how often it occurs on each
+page); labels with the same vector form an equivalence class. Classes that occur once on a page and on most pages of the
+host are candidates; void elements and text-level ones without class or id are left out. A class is valid if its tokens come in the same order on most of its pages, and if no more common valid
+class is interleaved with it: of two classes one lies in one slot of the other, or they lie apart. Others are dropped whole.
+
+The tokens of a valid class divide a page into slots; a class inside a slot of another is nested there, and after its last
+token that slot goes on. A slot that holds the same text on all pages belongs to the template. The main slot is an article
+or main element of a valid class if there is one, else the innermost element of a valid class that holds most of the words
+outside links. Hosts with fewer than MIN_PAGES pages, or without a valid slot, use the template that the same rules give over
+all hosts; a page in which the main slot doesn't occur is taken from its body.
 
 Inside the main slot the parts that are not article text go (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments, and slots constant over the host), and what remains is cut into blocks.
+scripts, styles, reader comments, elements and slots constant over the host, unless nothing else is left), and what remains
+is cut into blocks.
 
 Vectors are summed up as (pages, occurrences, xor of a hash of page and count) for each host and token, in the tasks that
 parse pages first, so a hot host is no hot group; the template table is one row for each host and joined as Spark sees fit.
@@ -22,7 +27,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -108,7 +114,6 @@ def slots(page: str) -> dict[str, tuple[int, int, int, int]]:
                 stack.append([name, label, 0, 0, name == "a"])
                 links += name == "a"
         elif kind == "close":
-            found.setdefault(label, [0, 0, 0, 0])[0] += 1
             if any(e[0] == name for e in stack[-32:]):
                 while True:
                     e = stack.pop()
@@ -146,34 +151,193 @@ def _statistics(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.string() if i < 2 else pa.int64()) for i, r in enumerate(rows)], names)
 
 
+def tokens(page: list[Piece], classes: dict[str, str]) -> list[list[str]]:
+    """For each piece of a page the structural tokens it brings, in order, of labels in classes that occur once on the page."""
+    counts: dict[str, int] = {}
+    for kind, _, label, _ in page:
+        if kind == "open":
+            counts[label] = counts.get(label, 0) + 1
+    once = {k for k, n in counts.items() if n == 1 and k in classes}
+    made: list[list[str]] = []
+    stack: list[tuple[str, str]] = []
+    for kind, name, label, _ in page:
+        here: list[str] = []
+        if kind == "open":
+            if name == "p" and stack and stack[-1][0] == "p":
+                here.append("/" + stack.pop()[1])
+            here.append(label)
+            if name not in VOID:
+                stack.append((name, label))
+        elif kind == "close" and any(e[0] == name for e in stack[-32:]):
+            while True:
+                e = stack.pop()
+                here.append("/" + e[1])
+                if e[0] == name:
+                    break
+        made.append([t for t in here if t.removeprefix("/") in once])
+    made.append([t for t in ("/" + e[1] for e in reversed(stack)) if t.removeprefix("/") in once])
+    return made
+
+
+def arrangement(made: list[list[str]], classes: dict[str, str]) -> Iterator[tuple[str, str, str]]:
+    """(class, "", its tokens in order) and (class, other class, slot of the other that it lies in) on a page.
+
+    The slot is the other's number of tokens before; "" where the tokens of the other are all before or after, "x" where the
+    class lies in more than one slot.
+    """
+    at: dict[str, list[int]] = {}
+    order: dict[str, list[str]] = {}
+    for i, t in enumerate(t for here in made for t in here):
+        c = classes[t.removeprefix("/")]
+        at.setdefault(c, []).append(i)
+        order.setdefault(c, []).append(t)
+    for c, own in at.items():
+        yield c, "", xxhash.xxh3_64_hexdigest(" ".join(order[c]))
+        for other, theirs in at.items():
+            if other != c:
+                low, high = bisect(theirs, own[0]), bisect(theirs, own[-1])
+                yield c, other, "x" if low != high else "" if low in (0, len(theirs)) else str(low)
+
+
+def slot_of(made: list[list[str]], classes: dict[str, str]) -> list[str]:
+    """For each piece of a page the slot that it lies in, named by the token before; "" outside of all classes."""
+    left: dict[str, int] = {}
+    for here in made:
+        for t in here:
+            c = classes[t.removeprefix("/")]
+            left[c] = left.get(c, 0) + 1
+    found: list[str] = []
+    stack: list[list[str]] = []  # class, its last token
+    for here in made[:-1]:
+        for t in here:
+            c = classes[t.removeprefix("/")]
+            own = next((e for e in stack if e[0] == c), None)
+            if own is None:
+                own = [c, t]
+                stack.append(own)
+            own[1] = t
+            left[c] -= 1
+            if not left[c]:
+                stack.remove(own)
+        found.append(stack[-1][1] if stack else "")
+    return found
+
+
+def _of_pages(pages: DataFrame, classes: DataFrame, of_page: Callable, schema: str, merge: Callable) -> DataFrame:
+    """Sums up what of_page gives for each page (host, html) with the classes of its host and with those of all hosts (host null)."""
+    common = classes.filter("host IS NULL").first()
+    common = dict(common.labels) if common else {}
+    rows = pages.join(classes.filter("host IS NOT NULL"), "host", "left").select("host", "html", "labels")
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [{"string": pa.string(), "long": pa.int64()}[f.split()[1]] for f in schema.split(", ")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sums: dict[tuple, list[int]] = {}
+            for host, page, labels in zip(*(c.to_pylist() for c in b.columns)):
+                parts = list(pieces(page))
+                for h, own in ((host, dict((x["label"], x["class"]) for x in labels or ())), (None, common)):
+                    for key, value in of_page(parts, own) if own else ():
+                        merge(sums, (h, *key), value)
+            rows = [(*k, *v) for k, v in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _count(sums: dict, key: tuple, value: None) -> None:
+    sums.setdefault(key, [0])[0] += 1
+
+
+def _least_and_most(sums: dict, key: tuple, value: int) -> None:
+    s = sums.setdefault(key, [0, value, value])
+    s[:] = s[0] + 1, min(s[1], value), max(s[2], value)
+
+
+def _arranged(parts: list[Piece], classes: dict[str, str]) -> Iterator[tuple[tuple, None]]:
+    for row in arrangement(tokens(parts, classes), classes):
+        yield row, None
+
+
+def _slot_texts(parts: list[Piece], classes: dict[str, str]) -> Iterator[tuple[tuple, int]]:
+    texts: dict[str, list[str]] = {}
+    for (kind, _, _, text), slot in zip(parts, slot_of(tokens(parts, classes), classes)):
+        if slot:
+            texts.setdefault(slot, []).append(text if kind == "text" else " ")
+    for slot, runs in texts.items():
+        yield (slot,), xxhash.xxh3_64_intdigest(SPACE.sub(" ", "".join(runs)).strip()) & 0x7FFFFFFFFFFFFFFF
+
+
+def valid_classes(pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(host, labels) of the candidates (host, label, class, pages) whose class is valid; labels holds (label, class)."""
+    listed = lambda df: df.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("label", "class"))).alias("labels"))
+    seen = _of_pages(pages, stage(listed(candidates), "candidates"), _arranged, "host string, class string, other string, form string, n long", _count)
+    seen = seen.groupBy("host", "class", "other", "form").agg(F.sum("n").alias("n"))
+    seen = seen.groupBy("host", "class", "other").agg(F.sum("n").alias("both"), F.max_by("form", F.struct("n", "form")).alias("form"), F.max("n").alias("n"))
+    seen = stage(seen, "arrangements")
+    sizes = candidates.select(F.col("host").alias("_host"), F.col("class").alias("_class"), "pages").distinct()
+    ordered = seen.filter((F.col("other") == "") & (F.col("n") >= F.lit(SUPPORT) * F.col("both")))
+    ordered = ordered.join(sizes, F.col("host").eqNullSafe(F.col("_host")) & (F.col("class") == F.col("_class"))).select("host", "class", "pages")
+    # of two interleaved classes the more common one stays; each loses only to those that are ordered themselves
+    crossed = seen.filter((F.col("other") != "") & (F.col("form") == "x"))
+    x, y = crossed.alias("x"), crossed.alias("y")
+    crossed = x.join(y, F.col("x.host").eqNullSafe(F.col("y.host")) & (F.col("x.class") == F.col("y.other")) & (F.col("x.other") == F.col("y.class"))).select("x.host", "x.class", "x.other")
+    crossed = crossed.groupBy("host", "class").agg(F.collect_set("other").alias("crossed"))
+    o, c = ordered.alias("o"), crossed.alias("c")
+    ordered = o.join(c, F.col("o.host").eqNullSafe(F.col("c.host")) & (F.col("o.class") == F.col("c.class")), "left").select("o.host", "o.class", "o.pages", "crossed")
+    ranked = ordered.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("rank"), F.col("class").alias("class"), F.col("crossed")))).alias("all"))
+    start = F.array().cast("array<string>")
+    kept = F.aggregate("all", start, lambda got, e: F.when(F.arrays_overlap(got, F.coalesce(e["crossed"], start)), got).otherwise(F.concat(got, F.array(e["class"]))))
+    kept = ranked.select(F.col("host").alias("_host"), F.explode(kept).alias("_class"))
+    return listed(candidates.join(kept, F.col("host").eqNullSafe(F.col("_host")) & (F.col("class") == F.col("_class"))).select("host", "label", "class"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, constant) from pages (host, key, html): the main slot's label and the labels of constant slots. The row with a null host is the template over all hosts."""
+    """(host, main, constant, labels, fixed) from pages (host, key, html): the main slot's label, the labels of constant elements, the labels of valid classes with their class, and the constant slots. The row with a null host is the template over all hosts."""
     parts = pages.select("host", "key", "html").mapInArrow(_statistics, _STATS)
     stats = parts.groupBy("host", "label").agg(*[F.sum(c).alias(c) for c in ("pages", "occurrences", "words", "depth")], F.bit_xor("vector").alias("vector"), F.min("least").alias("least"), F.max("most").alias("most"))
     of_host = W.partitionBy("host")
     stats = stats.withColumn("total", F.max("pages").over(of_host))
-    # labels of one class have the same vector; a class is kept if it is valid
-    stats = stats.withColumn("class", F.struct("pages", "occurrences", "vector")).withColumn("members", F.count(F.lit(1)).over(W.partitionBy("host", "class")))
-    valid = stats.filter((F.col("pages") >= F.lit(SUPPORT) * F.col("total")) & (F.col("total") >= F.when(F.col("host").isNull(), 1).otherwise(MIN_PAGES)))
-    name = F.regexp_extract("label", r"^([^.#]*)", 1)
+    slot = stats.filter((F.col("pages") >= F.lit(SUPPORT) * F.col("total")) & (F.col("total") >= F.when(F.col("host").isNull(), 1).otherwise(MIN_PAGES)) & (F.col("occurrences") == F.col("pages")))
+    # void elements enclose nothing, and bare text-level ones (b, a, span) are part of a sentence
+    slot = slot.withColumn("name", F.regexp_extract("label", r"^([^.#]*)", 1)).filter(~F.col("name").isin(*VOID) & (F.col("name").isin(*BLOCKS, *OUTSIDE) | F.col("label").rlike("[.#]")))
+    # labels of one class have the same vector; the class is named by its first label
+    slot = stage(slot.withColumn("class", F.min("label").over(W.partitionBy("host", "pages", "vector"))), "slots")
+    valid = stage(valid_classes(pages, slot.select("host", "label", "class", "pages")), "valid")
+    texts = _of_pages(pages, valid, _slot_texts, "host string, slot string, n long, least long, most long", _least_and_most)
+    texts = texts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    texts = texts.filter((F.col("n") >= MIN_PAGES) & (F.col("least") == F.col("most"))).groupBy(F.col("host").alias("_slot_host")).agg(F.sort_array(F.collect_list("slot")).alias("fixed"))
+    inside = valid.select(F.col("host").alias("_host"), F.explode("labels").alias("_l")).select("_host", F.col("_l.label").alias("_label"))
+    slot = slot.join(inside, F.col("host").eqNullSafe(F.col("_host")) & (F.col("label") == F.col("_label")))
     outside = F.udf(lambda n, lab: is_outside(n, lab), T.BooleanType())
-    slot = valid.filter(~F.col("label").startswith("/") & (F.col("occurrences") == F.col("pages"))).withColumn("name", name)
-    # the closing token is in a valid class too, or is left out by the pages
-    closing = valid.filter(F.col("label").startswith("/")).select(F.col("host").alias("_host"), F.substring("label", 2, 1 << 20).alias("_name"), "vector").withColumnRenamed("vector", "_vector")
-    slot = slot.join(closing, F.col("host").eqNullSafe(F.col("_host")) & (F.col("name") == F.col("_name"))).filter(~outside("name", "label"))
+    slot = slot.filter(~outside("name", "label"))
     slot = slot.withColumn("fixed", (F.col("least") == F.col("most")) & (F.col("pages") >= MIN_PAGES))
     most = F.max(F.when(~F.col("fixed") | (F.col("total") < MIN_PAGES), F.col("words"))).over(of_host)
     named = F.when(F.col("name") == "article", 0).when(F.col("name") == "main", 1).otherwise(2)
     main = slot.withColumn("most_words", most).filter((F.col("words") >= 0.8 * F.col("most_words")) & ~F.col("name").isin("html", "body"))
     main = main.groupBy("host").agg(F.min_by("label", F.struct(named, -F.col("depth") / F.col("pages"), "label")).alias("main"))
     fixed = slot.filter(F.col("fixed") & F.col("label").rlike("[.#]")).groupBy(F.col("host").alias("_fixed_host")).agg(F.sort_array(F.collect_set("label")).alias("constant"))
-    return main.join(fixed, F.col("host").eqNullSafe(F.col("_fixed_host")), "left").select("host", "main", "constant")
+    main = main.join(fixed, F.col("host").eqNullSafe(F.col("_fixed_host")), "left").join(texts, F.col("host").eqNullSafe(F.col("_slot_host")), "left")
+    valid = valid.withColumnRenamed("host", "_valid_host")
+    return main.join(valid, F.col("host").eqNullSafe(F.col("_valid_host")), "left").select("host", "main", "constant", "labels", "fixed")
 
 
-def main_text(page: str, main: str | None, constant: frozenset[str] = frozenset()) -> str:
-    """Text of the main slot: blocks in page order with two line ends between them. Without the slot, of the body."""
-    if main is not None and not any(k == "open" and lab == main for k, _, lab, _ in pieces(page)):
+def main_text(page: str, main: str | None, constant: frozenset[str] = frozenset(), classes: dict[str, str] | None = None, fixed: frozenset[str] = frozenset()) -> str:
+    """Text of the main slot: blocks in page order with two line ends between them. Without the slot, of the body.
+
+    Text in a slot in fixed is left out, unless there is no other.
+    """
+    parts = list(pieces(page))
+    if main is not None and not any(k == "open" and lab == main for k, _, lab, _ in parts):
         main = None
+    if fixed and classes:
+        within = slot_of(tokens(parts, classes), classes)
+        left = [("text", "", "", " ") if p[0] == "text" and slot in fixed else p for p, slot in zip(parts, within)]
+        return _text_of(left, main, constant) or _text_of(parts, main, constant)
+    return _text_of(parts, main, constant)
+
+
+def _text_of(parts: list[Piece], main: str | None, constant: frozenset[str]) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -185,7 +349,7 @@ def main_text(page: str, main: str | None, constant: frozenset[str] = frozenset(
 
     inside, depth, own = main is None, 0, ""
     skip, skip_depth = "", 0
-    for kind, name, label, text in pieces(page):
+    for kind, name, label, text in parts:
         if skip:
             if name == skip:
                 skip_depth += 1 if kind == "open" else -1
@@ -225,16 +389,18 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, text, n_chars) for pages (key, url, html)."""
     rows = pages.select(F.col(key), "url", F.coalesce("html", F.lit("")).alias("html"), url_host(F.col("url")).alias("_host"))
     found = stage(templates(rows.select(F.col("_host").alias("host"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), "html")), "templates")
-    default = found.filter("host IS NULL").select("main", "constant").first()
-    common = (default.main, frozenset(default.constant or ())) if default else (None, frozenset())
-    rows = rows.join(found.filter("host IS NOT NULL").select(F.col("host").alias("_host"), "main", "constant"), "_host", "left").select(key, "url", "html", "main", "constant")
+    default = found.filter("host IS NULL").first()
+    made = lambda main, constant, labels, fixed: (main, frozenset(constant or ()), {x["label"]: x["class"] for x in labels or ()}, frozenset(fixed or ()))
+    common = made(*default[1:]) if default else (None,)
+    columns = ["main", "constant", "labels", "fixed"]
+    rows = rows.join(found.filter("host IS NOT NULL").select(F.col("host").alias("_host"), *columns), "_host", "left").select(key, "url", "html", *columns)
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = []
-            for page, main, constant in zip(*(c.to_pylist() for c in b.columns[2:])):
-                texts.append(main_text(page, *((main, frozenset(constant or ())) if main else common)))
+            for page, main, *rest in zip(*(c.to_pylist() for c in b.columns[2:])):
+                texts.append(main_text(page, *(made(main, *rest) if main else common)))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
     return rows.mapInArrow(run, schema)
