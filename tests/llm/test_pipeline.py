@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from routeloom.llm import mixing
+from routeloom.llm import langid, mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,3 +79,50 @@ def test_near_duplicates_keep_one_row_of_a_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in given], DOCS)
     got = sorted(((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
     assert got == sorted([(3, near), (None, b), (4, c), (4, d), (8, "")], key=str)
+
+
+VOCABULARY = {"en": ["the", "house", "water", "through", "which"], "de": ["das", "haus", "wasser", "durch", "welche"]}
+
+
+def awkward(r):
+    """Rows in two languages: null and repeated ids, copies, personal data, text without letters or null."""
+    line = lambda lang: " ".join(r.choices(VOCABULARY[lang], k=60))
+    rows = [(i, line(lang), lang) for i, lang in enumerate(["en", "de"] * 20)]
+    rows += [(None, line("en"), "en"), (None, line("de"), "de"), (3, line("de"), "de"), (50, line("en") + " mail bob.x@mail.example.com now", "en")]
+    rows += [rows[4], rows[4], (None, rows[6][1], "en"), (60, "123 !", "en"), (61, None, "de")]
+    return [(i, t, lang, "ab"[k % 2], len(t or "")) for k, (i, t, lang) in enumerate(rows)]
+
+
+def test_language_and_personal_data_stages(spark):
+    rows = awkward(random.Random(11))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == Counter(x for x in rows if x[0] not in (60, 61))
+    out = corpus_pipeline.personal_data(spark, docs, "").collect()
+    assert len(out) == len(rows) and all(x.n_chars == len(x.text) for x in out if x.text)
+    texts = Counter(x.text for x in out)
+    assert not any("bob.x@mail" in (t or "") for t in texts)
+    assert texts - Counter(x[1] for x in rows) == Counter([next(x.text for x in out if x.doc_id == 50)])  # no other changes
+
+
+def test_run_keeps_null_and_repeated_ids(spark, tmp_path):
+    rows = awkward(random.Random(12))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = Counter(x.doc_id if x.doc_id == x.doc_id else None for x in out)
+    assert None in pieces and 60 not in pieces and 61 not in pieces
+    assert set(pieces) <= {x[0] for x in rows}
+    whole = defaultdict(int)
+    for x in out:
+        whole[x.sequence_id] = max(whole[x.sequence_id], x.offset + x.length)
+    assert sum(x.length for x in out) == sum(whole.values())  # sequences have no gaps
+
+
+def test_language_is_told_on_texts_not_learned_from(spark):
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choices(VOCABULARY[lang], k=12)), lang) for i, lang in enumerate(["en", "de"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.fit(docs.filter("doc_id < 60").withColumn("order", langid.sample_order(F.col("doc_id"))))
+    held = langid.identify(docs.filter("doc_id >= 60"), models).collect()
+    assert len(held) == 20 and all(x.lang_pred == rows[x.doc_id][2] for x in held)
