@@ -9,10 +9,11 @@ left out (the allowed error), so all such pairs share a key: a distance of 15 of
 
 No group is expanded into all pairs. Documents with equal sets are one class with one representative. Representatives that
 share a key are first compared with three pivots of the key; the confirmed links give components. Only pairs that share a
-key and lie in different components after that can still matter; those are compared unless their sizes, their distances to
-a common pivot (Jaccard distance is a metric), or the Hamming distance of longer signatures of BITS one-bit symbols rule the
-link out. That last limit lies five standard deviations above the mean distance of a pair at the threshold. Every link
-between components is thus found, but for such a chance.
+key and lie in different components after that can still matter. In a group that is alike but not linked those would be all
+pairs, so they are found by what is rare in them: each set is put in one order, rarest shingle first, and a link at the
+threshold must share a shingle among the first few of both (as many as may be missing, plus one). The join is on that shingle
+and a band of the union's size, groups of one component are left out, and the place of the shingle bounds what can still be
+common. This limit is exact: it follows from the sizes alone, whatever the order is.
 
 Defined results: null or empty text, or text without words, has an empty set, is linked with nothing and stays; a text with
 fewer words than a shingle has its whole word sequence as its one shingle; repeated rows have the same component; null ids
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +40,8 @@ _XOR = _RNG.integers(0, 1 << 64, VALUES, np.uint64)
 _MUL = _RNG.integers(0, 1 << 64, VALUES, np.uint64) | np.uint64(1)
 _ODD = _RNG.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 _CACHE = 400_000
-BITS = 1024
-_XOR_BITS = _RNG.integers(0, 1 << 64, BITS, np.uint64)
-_MUL_BITS = _RNG.integers(0, 1 << 64, BITS, np.uint64) | np.uint64(1)
+BUCKETS = 1 << 20  # shingles are counted by bucket for the order; the counts are the only thing that is broadcast
+BANDS = 24  # bands to a doubling of the size
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,38 +82,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype("<u2")
 
 
-def long_signature(shingles: np.ndarray) -> np.ndarray:
-    """BITS one-bit symbols as signed 64-bit words."""
-    low = np.full(BITS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for i in range(0, len(shingles), 256):
-        low = np.minimum(low, ((shingles[i : i + 256, None] ^ _XOR_BITS) * _MUL_BITS).min(0))
-    bits = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
-def long_signatures(sets: DataFrame) -> DataFrame:
-    """(id, s0, s1, ..., chunks) of (id, shingles): the words of the long signature and the chunks of the short one."""
-    words, chunks = BITS // 64, VALUES // CHUNK
-    names = [*(f"s{i}" for i in range(words)), *(f"c{i}" for i in range(chunks))]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            made = [np.concatenate([long_signature(s), signature(s).view(np.int64)]) for s in (np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1))]
-            made = np.array(made, np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(len(names)))], ["id", *names])
-
-    made = sets.select("id", "shingles").mapInArrow(run, T.StructType([sets.schema["id"], *(T.StructField(c, T.LongType()) for c in names)]))
-    return made.select("id", *names[:words], F.array(*names[words:]).alias("chunks"))
-
-
-def first_shared_key(key: Column) -> Column:
-    """Whether the key is the first of those that rows x and y share: no earlier chunk agrees up to one symbol."""
-    chunk, out = F.shiftrightunsigned(key, 50).cast("int"), F.shiftrightunsigned(key, 48).bitwiseAND(3)
-    differ = F.zip_with("x.chunks", "y.chunks", lambda p, q: p.bitwiseXOR(q))
-    lanes = lambda d: sum(((F.shiftrightunsigned(d, 16 * j).bitwiseAND(0xFFFF) == 0).cast("int") for j in range(CHUNK)), F.lit(0))
-    return ~F.exists(F.slice(differ, F.lit(1), chunk), lambda d: lanes(d) >= CHUNK - 1) & ((out == 0) | (F.element_at(differ, chunk + 1) != 0))
-
-
 def sketches(docs: DataFrame, k: int, key: str) -> DataFrame:
     """(key, n, digest, signature) of each row; digest and signature are null for an empty set."""
     schema = T.StructType([docs.schema[key], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType())])
@@ -210,7 +178,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     links = tested.filter(linked).select("a", "b")
     labels = components(links)
 
-    more = open_pairs(members, labels, tested, sets, percent)
+    more = open_pairs(members, labels, sets, percent)
     more = stage(more.join(tested, ["a", "b"], "left_anti"), "open-pairs")
     if not more.isEmpty():
         links = links.union(stage(confirmed(more, sets).filter(linked).select("a", "b"), "more-links"))
@@ -222,28 +190,68 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     return linked_rows.union(alone).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a key, lie in different components and may still be links."""
-    rows = members.join(labels, members.rep == labels.node, "left").select("key", "rep", "n", "pivots", F.coalesce("label", "rep").alias("label"))
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets (id, shingles) fall into each of BUCKETS: BUCKETS numbers, however many sets there are."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for b in it:
+            for x in b.column(0):
+                np.add.at(counts, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
+
+    counts = np.zeros(BUCKETS, np.int64)
+    found = sets.select("shingles").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def least_common(n: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Least size of the intersection of linked sets of these sizes: 100 * i >= percent * (n + other - i)."""
+    return -(-percent * (n + other) // (100 + percent))
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of representatives of mixed keys that lie in different components and may still be links."""
+    rows = members.join(labels, members.rep == labels.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    rows = stage(rows.join(mixed, "key", "left_semi"), "mixed-keys")
-    arms = rows.select("key", "rep", "n", "label", F.posexplode("pivots").alias("at", "pivot"))
-    arms = arms.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(tested.withColumnRenamed("n", "union"), ["a", "b"], "left")
-    near = F.when(F.col("rep") == F.col("pivot"), 1.0).otherwise(F.col("common") / F.col("union"))
-    at = arms.groupBy("key", "rep", "n", "label").agg(*[F.max(F.when(F.col("at") == i, near)).alias(f"j{i}") for i in range(3)])
-    marks = long_signatures(sets.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-    at = stage(at.join(marks, at.rep == marks.id).drop("id"), "mixed-members")
-    x, y = at.alias("x"), at.alias("y")
-    close = F.col("x.key") == F.col("y.key")
-    close &= (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
-    close &= 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    for i in range(3):  # the distance of the two is at least the difference of their distances to a pivot
-        close &= F.abs(F.col(f"x.j{i}") - F.col(f"y.j{i}")) <= (100 - percent) / 100 + 1e-9
-    differ = (100 - percent) / 200
-    limit = int(BITS * differ + 5 * (BITS * differ * (1 - differ)) ** 0.5) + 1
-    close &= sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(BITS // 64)), F.lit(0)) <= limit
-    close &= first_shared_key(F.col("x.key"))
-    return x.join(y, close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    reps = rows.join(mixed, "key", "left_semi").select(F.col("rep").alias("id"), "label").distinct()
+    own = stage(sets.join(reps, "id").select("id", "label", "shingles"), "mixed-sets")
+    counts = own.sparkSession.sparkContext.broadcast(bucket_counts(own).astype(np.int32))
+    schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("small", T.BooleanType()), own.schema["id"], own.schema["label"], T.StructField("n", T.LongType()), T.StructField("at", T.LongType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(i, 100) for batch in it for i in range(0, batch.num_rows, 100)):
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for at, x in enumerate(b.column(2)):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(s)
+                # Band of a pair: that of the smaller set. The set is the smaller one in its own band, the larger one in all that may link with it.
+                band = lambda m: np.floor(np.log2(m) * BANDS).astype(np.int64)
+                sizes = np.arange(-(-percent * n // 100), n + 1)
+                bands, first = np.unique(band(sizes), return_index=True)
+                prefix = np.append(n - least_common(n, sizes[first], percent) + 1, n - least_common(n, np.int64(n), percent) + 1)
+                order = np.lexsort((s, counts.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))[: prefix.max()]
+                for of, length, small in zip(np.append(bands, band(n)), prefix, [False] * len(bands) + [True]):
+                    k = int(length)
+                    for c, v in zip(columns, (s[order[:k]].view(np.int64), np.full(k, of), np.full(k, small), np.full(k, at), np.full(k, n), np.arange(k))):
+                        c.append(v)
+            c = [np.concatenate(x) for x in columns]
+            at = pa.array(c[3])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].astype(np.int32)), pa.array(c[2].astype(bool)), b.column(0).take(at), b.column(1).take(at), pa.array(c[4]), pa.array(c[5])], schema.names)
+
+    first = stage(own.mapInArrow(run, schema), "first-shingles")
+    of_both = first.groupBy("shingle", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("small").alias("some"), F.bool_or(~F.col("small")).alias("more")).filter("lo <> hi AND some AND more")
+    first = first.join(of_both.select("shingle", "band"), ["shingle", "band"], "left_semi")
+    x, y = first.filter("small").alias("x"), first.filter("NOT small").alias("y")
+    close = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label"))
+    close &= (F.col("x.n") <= F.col("y.n")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    # what comes before the first shingle in common is common to neither; the first one passes
+    close &= 100 * rest >= percent * (F.col("x.n") + F.col("y.n") - rest)
+    a, b = F.col("x.id"), F.col("y.id")
+    return x.join(y, close).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
