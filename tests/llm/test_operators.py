@@ -166,7 +166,9 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_katz_is_the_textbook_model(docs, empty):
+@pytest.mark.parametrize("batch", [katz.BATCH_TOKENS, 37])
+def test_katz_is_the_textbook_model(docs, empty, batch, monkeypatch):
+    monkeypatch.setattr(katz, "BATCH_TOKENS", batch)  # the smaller one cuts texts
     rows = {r.doc_id: r for r in katz.score(docs.dropDuplicates(["doc_id"]).withColumn("train", F.col("doc_id") % 5 != 0)).collect()}
     assert katz.score(empty.withColumn("train", F.lit(True))).count() == 0
     tokens = {d: (t or "").lower().split() + [1] for d, t, *_ in documents()}
@@ -181,14 +183,17 @@ def test_katz_is_the_textbook_model(docs, empty):
         after[h] += c
     seen = lambda counts: [sum(c == r for c in counts.values()) for r in range(1, katz.TOP + 2)]
     keep1, keep2 = katz.discounts(seen(one)), katz.discounts(seen(two))
-    kept = lambda keep, c: c * keep[c] if c <= katz.TOP else c - katz.DELTA
-    unknown = 1 - sum(kept(keep1, c) for c in one.values()) / n
-    p1 = lambda w: kept(keep1, one[w]) / n if one[w] else unknown
+    kept = lambda keep, c: c * keep[c] if c <= katz.TOP else c
+    whole = n if any(c <= katz.TOP for c in one.values()) else n + 1
+    unknown = 1 - sum(kept(keep1, c) for c in one.values()) / whole
+    p1 = lambda w: kept(keep1, one[w]) / whole if one[w] else unknown
     mass, lower = Counter(), Counter()
+    low = {h for (h, _), c in two.items() if c <= katz.TOP}
+    total = {h: c if h in low else c + 1 for h, c in after.items()}
     for (h, w), c in two.items():
-        mass[h] += kept(keep2, c) / after[h]
+        mass[h] += kept(keep2, c) / total[h]
         lower[h] += p1(w)
-    p = lambda h, w: kept(keep2, two[h, w]) / after[h] if two[h, w] else p1(w) * ((1 - mass[h]) / (1 - lower[h]) if after[h] else 1)
+    p = lambda h, w: kept(keep2, two[h, w]) / total[h] if two[h, w] else p1(w) * ((1 - mass[h]) / (1 - lower[h]) if after[h] else 1)
     for h in [2, "w1", "w7", "one"]:  # sums to one over the known words and the unknown one
         assert abs(sum(p(h, w) for w in [*one, "unheard-of"]) - 1) < 1e-9
     for d, w in tokens.items():
@@ -237,3 +242,83 @@ def test_language(spark):
     scorer = langid.Scorer(models)
     words = ["haus", "ñandú", "x" * 40, "a"]
     assert np.allclose(scorer.words(words), [scorer.word(w) for w in words])
+
+
+def test_a_group_that_is_alike_but_not_linked(spark, monkeypatch):
+    """Copies of one text with 0 to 12 words changed: most pairs lie below the threshold, few are compared, and no link is lost."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        t = list(base)
+        for at in r.sample(range(120), i % 13):
+            t[at] = f"x{r.randrange(60)}"
+        texts.append(" ".join(t))
+    sets = [frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for w in map(str.split, texts)]
+    component = list(range(300))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(300):
+            for b in range(a):
+                if component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    component[a] = component[b] = min(component[a], component[b])
+                    changed = True
+    compared = []
+    confirmed = neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, s: compared.append(pairs.count()) or confirmed(pairs, s))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(docs, 3, 85).collect()} == dict(enumerate(component))
+    assert len(set(component)) > 100 and sum(compared) < 300 * 299 / 10
+
+
+def test_least_common_is_the_threshold():
+    for n in range(1, 60):
+        for m in range(1, 60):
+            i = int(neardup.least_common(np.int64(n), np.int64(m), 85))
+            assert 100 * i >= 85 * (n + m - i) and 100 * (i - 1) < 85 * (n + m - i + 1)
+
+
+def test_the_forward_sum_is_over_all_segmentations():
+    r = random.Random(6)
+    pieces = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "cab", "bca"]
+    models = {lang: {p: r.random() / 20 for p in pieces if r.random() < 0.8} for lang in ("x", "y")}
+    scorer = langid.Scorer(models)
+
+    def total(word, p):
+        if not word:
+            return 1.0
+        return sum(p(word[:n]) * total(word[n:], p) for n in range(1, len(word) + 1))
+
+    table = {q for m in models.values() for q in m}
+    for word in ["a", "ab", "abcab", "cabbca", "abcabcab", "zz"]:
+        got = scorer.words([word])[0]
+        for i, m in enumerate(models.values()):
+            p = lambda s: max(m.get(s, langid.FLOOR**2), langid.FLOOR if len(s) == 1 else 0) if s in table else langid.FLOOR if len(s) == 1 else 0.0  # noqa: B023, E731
+            assert abs(got[i] - math.log(total("▁" + word, p))) < 1e-9
+    # expected counts against counts over enumerated segmentations
+    m = models["x"]
+    words, want = {"▁abca": 2.0, "▁cab": 1.0}, Counter()
+    for w, c in words.items():
+        ways = [[w[i:j] for i, j in zip((0, *cut), (*cut, len(w)))] for k in range(len(w)) for cut in __import__("itertools").combinations(range(1, len(w)), k)]
+        weight = [math.prod(m.get(s) or (langid.FLOOR if len(s) == 1 else 0.0) for s in way) for way in ways]
+        for way, x in zip(ways, weight):
+            for s in way:
+                if s in m:
+                    want[s] += c * x / sum(weight)
+    got = langid.expected_counts(words, m)
+    assert all(abs(got[s] - want[s]) < 1e-9 for s in {*got, *want})
+
+
+def test_letters():
+    assert langid.words_of("नमस्ते ½² Ångström x2y") == ["नमस्ते", "ångström", "x", "y"]
+
+
+def test_language_of_awkward_tables(spark):
+    """Ties go to the smaller language; repeated rows agree; clashing columns are replaced; an empty table is an empty result."""
+    models = {"a": {"▁": 0.5, "w": 0.5}, "b": {"▁": 0.5, "w": 0.5}}
+    rows = spark.createDataFrame([(1, "w w", "old"), (1, "w w", "old"), (2, "½²", "old"), (3, "w " * 30_000, "old")], "doc_id long, text string, lang_pred string")
+    got = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(rows, models).orderBy("doc_id").collect()]
+    assert got == [(1, "a", 0.5), (1, "a", 0.5), (2, "und", 0.0), (3, "a", 0.5)]
+    assert langid.identify(rows.limit(0), models).count() == 0
+    assert langid.fit(rows.limit(0).select("text", F.lit("x").alias("lang"), F.lit("0").alias("order"))) == {}
