@@ -1,11 +1,17 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds spans.
 
-The field cuts a region of text (the tokens near a digit or an at sign) into segments, each an entity of at most MAX_TOKENS
-tokens with a type, or one plain token. Features look at a whole candidate segment: its shape, digit count, token count,
-signs, checksum and octet range, and its neighbours. Training maximises the likelihood of base spans over a bounded sample
-of regions (``sample_regions``) with forward and backward sums over segmentations; decoding finds the best segmentation by
-dynamic programming over bounded entities, which chooses boundaries and types together. An entity must hold a digit or an
-at sign, so text outside the regions cannot be part of one and is skipped without changing the result.
+The field cuts a region of text (the tokens near a digit, an at sign or a bracketed "at") into segments, each an entity of at
+most MAX_TOKENS tokens with a type, or one plain token. Features look at a whole candidate segment: its shape, digit count,
+token count, signs, checksum and octet range, and its neighbours. Training maximises the likelihood of labelled segmentations
+with forward and backward sums; decoding finds the best one by dynamic programming over bounded entities, which chooses
+boundaries and types together. An entity must hold a sign, so text outside the regions cannot be part of one and is skipped
+without changing the result.
+
+Labels come from a bounded sample of regions (``sample_regions``; one of more than SAMPLE_TOKENS tokens is cut). Each is used as
+it is, with the base spans as entities, and again with every base span rewritten in a form that the base patterns don't know
+(a bracketed at or dot, other separators, no plus sign) as an entity still, and with every base span replaced by a number that
+is no personal data (an amount, a date, a version, digits that fail the check) as plain text. So the field learns the forms in
+the texts' own contexts, and adds spans that the base patterns miss.
 
 Base spans always stay; a decoded entity that overlaps none of them is added. Positions are code points, ends exclusive.
 
@@ -19,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +37,8 @@ from pyspark.sql import types as T
 from ._common import table
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 4
+MAX_TOKENS = 5
+SAMPLE_TOKENS = 120
 DIM = 1 << 13
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,7 +46,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SIGN = re.compile(r"[0-9@]")
+_SIGN = re.compile(r"[0-9@]|[(\[{][Aa][Tt][)\]}]")
 _TOKEN = re.compile(r"\S+")
 
 Span = tuple[str, int, int]
@@ -83,22 +91,24 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of token bounds around tokens with a digit or an at sign, with one token of context on each side."""
+    """Runs of token bounds around tokens with a sign, with all that an entity may hold before and after it."""
     out: list[list[tuple[int, int]]] = []
-    last = wait = None
+    before: deque[tuple[int, int]] = deque(maxlen=MAX_TOKENS)  # one more than an entity, as context
+    wait = 0
     for m in _TOKEN.finditer(text) if _SIGN.search(text) else ():
         token = m.span()
         if _SIGN.search(m[0]):
-            if wait is None or not out:
-                out.append([last] if last else [])
+            if not wait:
+                out.append(list(before))
             out[-1].append(token)
             wait = MAX_TOKENS
         elif wait:
             out[-1].append(token)
             wait -= 1
-            if wait == 0:
-                wait = None
-        last = token
+        if wait:
+            before.clear()
+        else:
+            before.append(token)
     return out
 
 
@@ -114,6 +124,8 @@ def segment_span(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+_AT, _DOT = re.compile(r"[(\[{][Aa][Tt][)\]}]"), re.compile(r"\.|[(\[{][Dd][Oo][Tt][)\]}]")
+_ALNUM = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _SHAPES = [(re.compile(r"[0-9]+"), "9"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\W\d_]+"), "a")]
 
 
@@ -133,6 +145,10 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[i
     form = shape(body)
     letters = any(c.isalpha() for c in body)
     names = ["bias", f"shape={form}", f"tokens={j - i}", f"digits={min(n, 20)}", f"tokens={j - i},digits={min(n, 20)}", f"letters={letters}", f"at={body.count('@')}", f"dots={min(4, body.count('.'))}", f"plus={body.startswith('+')}"]
+    at = _AT.search(body)
+    names.append(f"spelt={bool(at)},{bool(_DOT.search(body, at.end()) if at else '.' in body)},{j - i}")
+    names.append(f"ends={form[:2]},{form[-2:]}")
+    names.append(f"separators={''.join(sorted(set(body) - _ALNUM))[:6]},{min(n, 20)}")
     names.append(f"bracket={'(' in body},plus={body.startswith('+')},phone={10 <= n <= 15}")
     names.append(f"luhn={not letters and 14 <= n <= 19 and luhn(digits)}")
     if form == "9.9.9.9":
@@ -152,25 +168,22 @@ class SemiCrf:
     def __init__(self, weights: np.ndarray | None = None):
         self.weights = np.zeros((len(KINDS) + 1, DIM)) if weights is None else weights
 
-    def scores(self, text: str, tokens: list[tuple[int, int]]) -> tuple[dict, dict]:
-        """Features, and scores of the types, of every candidate segment. None stands for types that are not allowed."""
-        feats, score = {}, {}
-        for i in range(len(tokens)):
-            for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-                sign = bool(_SIGN.search(text, tokens[i][0], tokens[j - 1][1]))
-                if j == i + 1 or sign:
-                    f = feats[i, j] = features(text, tokens, i, j)
-                    s = self.weights[:, f].sum(1)
-                    score[i, j] = [s[0] if j == i + 1 else None, *(s[1:] if sign else [None] * len(KINDS))]
-        return feats, score
+    def allowed(self, text: str, tokens: list[tuple[int, int]], i: int, j: int) -> tuple[list[int], list[float | None]] | None:
+        """Features of a candidate segment and the score of each type, None where the type is not allowed; None for no candidate."""
+        sign = bool(_SIGN.search(text, tokens[i][0], tokens[j - 1][1]))
+        if j > i + 1 and not sign:
+            return None
+        f = features(text, tokens, i, j)
+        s = self.weights[:, f].sum(1).tolist()
+        return f, [s[0] if j == i + 1 else None, *(s[1:] if sign else [None] * len(KINDS))]
 
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[Span]:
-        """Entities of the best segmentation; ties go to plain text, then shorter segments."""
-        _, score = self.scores(text, tokens)
+        """Entities of the best segmentation; ties go to plain text, then shorter segments. Kept are two numbers for each token."""
         best, back = [0.0] + [-math.inf] * len(tokens), [None] * (len(tokens) + 1)
         for j in range(1, len(tokens) + 1):
             for i in range(j - 1, max(-1, j - MAX_TOKENS - 1), -1):
-                for y, s in enumerate(score.get((i, j), ())):
+                _, score = self.allowed(text, tokens, i, j) or (None, ())
+                for y, s in enumerate(score):
                     if s is not None and best[i] + s > best[j]:
                         best[j], back[j] = best[i] + s, (i, y)
         out, j = [], len(tokens)
@@ -183,8 +196,9 @@ class SemiCrf:
 
     def gradient(self, text: str, tokens: list[tuple[int, int]], gold: list[tuple[int, int, int]]) -> dict[tuple[int, int], list[tuple[int, float]]]:
         """For each segment's features: (type, gold count less expected count)."""
-        feats, score = self.scores(text, tokens)
         n = len(tokens)
+        found = {(i, j): x for i in range(n) for j in range(i + 1, min(n, i + MAX_TOKENS) + 1) if (x := self.allowed(text, tokens, i, j))}
+        feats, score = {k: f for k, (f, _) in found.items()}, {k: s for k, (_, s) in found.items()}
         alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         alpha[0] = beta[n] = 0.0
         joint = {k: np.logaddexp.reduce([x for x in v if x is not None]) for k, v in score.items() if any(x is not None for x in v)}
@@ -208,15 +222,16 @@ class SemiCrf:
         return self
 
 
-def example(text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]] | None:
-    """A training region from a text: tokens, and the segmentation that the base spans give."""
+def example(text: str, spans: list[Span]) -> tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]] | None:
+    """A training region: tokens, and the segmentation that the spans give. None if a span's bounds can't be those of a segment."""
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     gold, i = [], 0
     cover = {}
-    for kind, s, e in base_spans(text):
+    for kind, s, e in spans:
         inside = [t for t, (a, b) in enumerate(tokens) if a < e and b > s]
-        if inside and len(inside) <= MAX_TOKENS and segment_span(text, tokens[inside[0]][0], tokens[inside[-1]][1]) == (s, e):
-            cover.setdefault(inside[0], (inside[-1] + 1, KINDS.index(kind) + 1))
+        if not inside or len(inside) > MAX_TOKENS or segment_span(text, tokens[inside[0]][0], tokens[inside[-1]][1]) != (s, e):
+            return None
+        cover.setdefault(inside[0], (inside[-1] + 1, KINDS.index(kind) + 1))
     while i < len(tokens):
         j, y = cover.get(i, (i + 1, 0))
         gold.append((i, j, y))
@@ -224,18 +239,71 @@ def example(text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int,
     return (text, tokens, gold) if tokens else None
 
 
-def fit(docs: DataFrame, sample_regions: int = 600, text: str = "text") -> SemiCrf:
-    """Trains on the regions that come first by hash, at most sample_regions of them, of the whole table's texts."""
+def rewritten(kind: str, body: str, seed: int) -> str:
+    """A base span in a form that the base patterns don't know."""
+    digits = "".join(c for c in body if c.isdigit())
+    if kind == "email":
+        name, _, domain = body.partition("@")
+        at, dot = [("(at)", "."), ("[at]", "."), ("{at}", "."), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) ")][seed % 8]
+        return name + at + domain.replace(".", dot, 1 if " " in dot else -1)
+    if kind == "ip":
+        return body.replace(".", ["[.]", "(.)", "[.]"][seed % 3])
+    if kind == "card":
+        sign = [".", "/", "_", " . "[1]][seed % 4]
+        return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    own = digits[-10:]
+    return [f"({own[:3]}) {own[3:6]}-{own[6:]}", f"{own[:3]}-{own[3:6]}-{own[6:]}", f"00{digits}", f"{own[:3]}.{own[3:6]}.{own[6:]}", f"00 {digits[:-10]} {own[:3]} {own[3:6]} {own[6:]}".replace("  ", " ")][seed % 5]
+
+
+def harmless(seed: int) -> str:
+    """A number that is no personal data."""
+    a, b, c = seed % 89 + 10, seed // 89 % 89 + 10, seed // 7921 % 9 + 1
+    wrong = next(x for i in range(10) if not luhn(x := f"4{a}{b}{seed % 10**8:08d}{c}{a % 10}{i}"))
+    return [f"{a}", f"{a}.{b}", f"20{a}-{c:02d}-{b % 28 + 1:02d}", f"{c}.{a}.{b}", f"{a},{b}0", f"{a}:{b}", f"{a}{b}{c}", f"v{c}.{a}", f"{a}%", f"{c}{a}{b}{seed % 10**6:06d}", wrong, f"3{a}.4{b}.5{a}.6{b}"][seed % 12]
+
+
+def replaced(text: str, spans: list[Span], put) -> tuple[str, list[Span]]:
+    """The text with each span's body put in anew, and where the new bodies are."""
+    out, found, done, size = [], [], 0, 0
+    for kind, s, e in spans:
+        body = put(kind, text[s:e])
+        out += [text[done:s], body]
+        size += s - done
+        found.append((kind, size, size + len(body)))
+        size += len(body)
+        done = e
+    return "".join(out) + text[done:], found
+
+
+def examples(region: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]]]:
+    """A region as it is, with its base spans rewritten, and with them replaced by harmless numbers."""
+    spans, last = [], 0
+    for x in base_spans(region):
+        if x[1] >= last:
+            spans.append(x)
+            last = x[2]
+    seed = int.from_bytes(hashlib.blake2b(region.encode(), digest_size=6).digest(), "little")
+    found = [example(region, spans)]
+    if spans:
+        for i in range(2):
+            found.append(example(*replaced(region, spans, lambda kind, body, i=i: rewritten(kind, body, seed + i))))
+            found.append(example(replaced(region, spans, lambda kind, body, i=i: harmless(seed // 13 + i))[0], []))
+    return [x for x in found if x]
+
+
+def fit(docs: DataFrame, sample_regions: int = 200, text: str = "text") -> SemiCrf:
+    """Trains on regions that come first by hash, at most sample_regions of them with a base span and as many others, of the whole table's texts."""
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            found = [t[max(0, r[0][0]) : r[-1][1]] for t in b.column(0).to_pylist() for r in regions(t) if r[-1][1] - r[0][0] < 2000]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["region"])
+        for b in (batch.slice(i, 200) for batch in it for i in range(0, batch.num_rows, 200)):
+            found = [t[r[i][0] : r[min(len(r), i + SAMPLE_TOKENS) - 1][1]] for t in b.column(0).to_pylist() for r in regions(t) for i in range(0, len(r), SAMPLE_TOKENS)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([bool(base_spans(x)) for x in found])], ["region", "marked"])
 
-    rows = docs.select(text).filter(F.col(text).rlike("[0-9@]")).mapInArrow(cut, "region string")
-    # the hash comes first, and a shorter list of each partition at a time: only sample_regions rows reach the driver
-    sample = rows.distinct().orderBy(F.md5("region")).limit(sample_regions).collect()
-    return SemiCrf().fit([x for r in sample if (x := example(r.region))])
+    rows = docs.select(text).filter(F.col(text).rlike(_SIGN.pattern)).mapInArrow(cut, "region string, marked boolean").distinct()
+    # the hash comes first, and a shorter list of each partition at a time: only the sample reaches the driver
+    sample = [r.region for marked in (True, False) for r in rows.filter(F.col("marked") == marked).orderBy(F.md5("region")).limit(sample_regions).collect()]
+    sample.sort(key=lambda x: hashlib.md5(x.encode()).digest())
+    return SemiCrf().fit([x for r in sample for x in examples(r)])
 
 
 def joined(spans: list[Span]) -> str:
@@ -258,7 +326,7 @@ def _mapped(docs: DataFrame, model: SemiCrf, row, fields: list[T.StructField], d
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SemiCrf(shared.value)
-        for b in it:
+        for b in (batch.slice(i, 200) for batch in it for i in range(0, max(1, batch.num_rows), 200)):
             found = [row(t, *find(t, own)) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             more = [pa.array([x[i] for x in found], pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for i, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), *more], [*(f.name for f in kept), *(f.name for f in fields)])
