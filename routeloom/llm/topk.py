@@ -1,17 +1,19 @@
 """Exact top-k inner-product search by block-at-a-time pruning.
 
-Vectors are turned into integer term weights (one term for each dimension). Rows are dealt into ranges of neighbouring
-ids, and each range into small blocks. A block keeps the largest and the smallest weight of each term; their products with
-a query, summed over the terms, bound every score in the block. Each query visits the blocks of a range in falling order
-of that bound and scores a block through its forward index (a dense row of weights for each document) until the bound is
-below its k-th best score, so no result is lost. A last window over the ranges' lists gives the k best of all.
+Vectors are turned into integer term weights (one term for each dimension). Rows are dealt into ranges, and each range into
+small blocks of neighbours, by halving it along the term that spreads most. A block keeps the largest and the smallest weight
+of each term; their products with a query, summed over the terms, bound every score in the block. Each query visits the blocks
+of a range in falling order of that bound and scores a block through its forward index (a dense row of weights for each
+document) until the bound is below its k-th best score, so no result is lost. A last window over the ranges' lists gives the k
+best of all.
 
 Queries are dealt into chunks and meet every range once; that is the stated query set against all rows, in blocks.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part; an empty vector has score
 0 with all others; vectors of different lengths are filled with zeros; rows with the query's own id are never its
 candidates; of repeated ids each row counts as a candidate, and a repeated query id is asked once (its greatest vector).
-Null ids take no part.
+Null ids take no part. Weights and scores beyond 64 bits are held at the largest or smallest such number; sums on the way are
+exact. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ def quantise(v: pd.Series) -> pd.Series:
             return None
         a = np.array([np.nan if c is None else c for c in x] if x.dtype == object else x, dtype=np.float64)
         a = np.floor(64.0 * a)
-        return a.astype(np.int64) if np.isfinite(a).all() and (np.abs(a) < 2.0**62).all() else None
+        # the largest double below 2**63, so that the cast holds
+        return np.clip(a, -(2.0**63), 2.0**63 - 1024).astype(np.int64) if np.isfinite(a).all() else None
 
     return v.map(one)
 
@@ -48,32 +51,55 @@ def _dense(rows: pd.Series, width: int) -> np.ndarray:
 
 
 def _exact(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Integer inner products; through floating point where every sum is exact there."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * max(1, q.shape[1])
-    return (q.astype(np.float64) @ d.T.astype(np.float64)).astype(np.int64) if most < 2.0**52 else q @ d.T
-
-
-def search_range(q: pd.DataFrame, d: pd.DataFrame, k: int, block: int) -> pd.DataFrame:
-    """Top k of one range for each query of a chunk, by bounds of its blocks."""
+    """Integer inner products: in floating point or 64 bits where every sum is exact there, else in whole numbers of any size, held at 64 bits."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(d.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
+    if most < 2.0**52:
+        return (q.astype(np.float64) @ d.T.astype(np.float64)).astype(np.int64)
+    if most < 2.0**62:
+        return q @ d.T
+    ends = np.iinfo(np.int64)
+    return np.clip(q.astype(object) @ d.T.astype(object), ends.min + 1, ends.max).astype(np.int64)
+
+
+def neighbours(docs: np.ndarray, block: int) -> np.ndarray:
+    """An order of rows in which each run of block rows is close: halves along the term that spreads most, at whole blocks."""
+    parts, done = [np.arange(len(docs))], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= block:
+            done.append(part)
+            continue
+        own = docs[part].astype(np.float64)
+        part = part[np.argsort(own[:, own.var(0).argmax()], kind="stable")] if own.shape[1] else part
+        half = -(-len(part) // block) // 2 * block
+        parts += [part[half:], part[:half]]
+    return np.concatenate(done)
+
+
+def search_range(q: pd.DataFrame, d: pd.DataFrame, k: int, block: int) -> tuple[pd.DataFrame, int, int]:
+    """Top k of one range for each query of a chunk, by bounds of its blocks; and how many blocks were scored for a query, of how many."""
     d = d.sort_values("id", kind="stable")
     width = max([len(x) for x in q["v"]] + [len(x) for x in d["v"]] + [1])
     queries, docs = _dense(q["v"], width), _dense(d["v"], width)
     ids, own = d["id"].to_numpy(np.int64), q["id"].to_numpy(np.int64)
+    place = neighbours(docs, block)  # of blocks' rows in ids
     starts = np.arange(0, len(ids), block)
-    high, low = np.maximum.reduceat(docs, starts, 0), np.minimum.reduceat(docs, starts, 0)
+    high, low = np.maximum.reduceat(docs[place], starts, 0), np.minimum.reduceat(docs[place], starts, 0)
     positive = np.maximum(queries, 0)
-    bound = _exact(positive, high) + _exact(queries - positive, low)
-    order = np.argsort(-bound, 1, kind="stable")
+    bound = _exact(np.concatenate([positive, queries - positive], 1), np.concatenate([high, low], 1))
+    order = np.argsort(-np.maximum(bound, np.iinfo(np.int64).min + 1), 1, kind="stable")
     least = np.iinfo(np.int64).min
     best = np.full((len(own), k), least)  # scores, falling
     where = np.full((len(own), k), len(ids))  # positions in ids; equal scores in rising position
     alive = np.arange(len(own))
+    scored = 0
     for step in range(len(starts)):
         turn = order[alive, step]
         alive = alive[bound[alive, turn] >= best[alive, k - 1]]
         turn = order[alive, step]
+        scored += len(alive)
         for b in np.unique(turn):
-            who, at = alive[turn == b], np.arange(starts[b], min(starts[b] + block, len(ids)))
+            who, at = alive[turn == b], place[starts[b] : starts[b] + block]
             score = _exact(queries[who], docs[at])
             score[own[who][:, None] == ids[at][None, :]] = least
             s = np.concatenate([best[who], score], 1)
@@ -81,10 +107,10 @@ def search_range(q: pd.DataFrame, d: pd.DataFrame, k: int, block: int) -> pd.Dat
             first = np.lexsort((p, -np.maximum(s, least + 1)), axis=1)[:, :k]
             best[who], where[who] = np.take_along_axis(s, first, 1), np.take_along_axis(p, first, 1)
     found = best > least
-    return pd.DataFrame({"query_id": np.repeat(own, found.sum(1)), "vec_id": ids[where[found]], "score": best[found]})
+    return pd.DataFrame({"query_id": np.repeat(own, found.sum(1)), "vec_id": ids[where[found]], "score": best[found]}), scored, len(own) * len(starts)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 64, range_rows: int = 1024, chunk_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 32, range_rows: int = 8192, chunk_rows: int = 1024) -> DataFrame:
     """k best rows of vectors (id, v) for each row of queries (id, v) as (query_id, rank, vec_id, score); ties to the smaller id.
 
     The number of ranges and chunks follows the row counts, so that a task holds range_rows and chunk_rows rows on average.
@@ -99,7 +125,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 64,
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        return search_range(a, b, k, block)
+        return search_range(a, b, k, block)[0]
 
     found = q.groupBy("chunk", "range").cogroup(d.groupBy("chunk", "range")).applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
