@@ -223,7 +223,7 @@ def test_pii_base_and_model(spark):
     text = "Mail bob.x@mail.example.com, call +1 (269) 555-3296 or 10.0.0.255 and 4111 1111 1111 1111 not 4111 1111 1111 1112 nor 300.1.1.1"
     assert [(k, text[s:e]) for k, s, e in pii.base_spans(text)] == [("email", "bob.x@mail.example.com"), ("phone", "+1 (269) 555-3296"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111")]
     assert pii.base_spans("@" * 1000 + "1" * 50_000) == []
-    rows = [(i, f"some words user{i}@site{i}.org then {i}.2.3.4 more words {i}") for i in range(60)] + [(100, None), (101, "")]
+    rows = [(i, f"some words {name}.{name}@{name}place.org then {i}.2.3.4 more words {i}") for i in range(60)] + [(100, None), (101, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.annotate(docs, pii.fit(docs)).collect()}
     assert got[100].spans == got[101].spans == "" and got[7].n_email == 1 and got[7].n_ip == 1
@@ -322,3 +322,78 @@ def test_language_of_awkward_tables(spark):
     assert got == [(1, "a", 0.5), (1, "a", 0.5), (2, "und", 0.0), (3, "a", 0.5)]
     assert langid.identify(rows.limit(0), models).count() == 0
     assert langid.fit(rows.limit(0).select("text", F.lit("x").alias("lang"), F.lit("0").alias("order"))) == {}
+
+
+def segmentations(model, text, tokens):
+    """All labelled segmentations with their scores, by enumeration."""
+    if not tokens:
+        return [((), 0.0)]
+    out = []
+
+    def walk(i, path, score):
+        if i == len(tokens):
+            out.append((tuple(path), score))
+            return
+        for j in range(i + 1, min(len(tokens), i + pii.MAX_TOKENS) + 1):
+            _, scores = model.allowed(text, tokens, i, j) or (None, ())
+            for y, s in enumerate(scores):
+                if s is not None:
+                    walk(j, [*path, (i, j, y)], score + s)
+
+    walk(0, [], 0.0)
+    return out
+
+
+def test_pii_decoding_and_gradient_against_enumeration():
+    model = pii.SemiCrf(np.random.default_rng(3).normal(size=(len(pii.KINDS) + 1, pii.DIM)))
+    for text in ["a 1 b", "call 555 123 4567 or x@y.z now", "7", "bob (at) site.org ok 9", "1 2 3 4 5 6"]:
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        every = segmentations(model, text, tokens)
+        best = max(every, key=lambda x: x[1])[0]
+        want = [(pii.KINDS[y - 1], *pii.segment_span(text, tokens[i][0], tokens[j - 1][1])) for i, j, y in best if y]
+        assert model.decode(text, tokens) == want
+        total = sum(math.exp(s) for _, s in every)
+        gold = [(i, i + 1, 0) for i in range(len(tokens))]
+        for (i, j), (_, parts) in model.gradient(text, tokens, gold).items():
+            for y, g in parts:
+                expected = sum(math.exp(s) for path, s in every if (i, j, y) in path) / total
+                assert abs(g - (((i, j, y) in gold) - expected)) < 1e-9
+
+
+def test_pii_adds_forms_that_the_base_patterns_miss(spark):
+    r = random.Random(2)
+    rows = []
+    for i in range(120):
+        name = "".join(r.choices("abcdefg", k=5))
+        ip, phone = f"10.{i}.3.{r.randrange(256)}", f"+1 (269) 555-{r.randrange(10**4):04d}"
+        rows.append((i, f"some words {name}.{name}@{name}place.org then {ip} more {i} words {phone} in 20{i % 90 + 10}", "x"))
+    rows += [(500, "write to ann.b[at]place.org or (743) 555-3824 or 10[.]0[.]3[.]25, not 12.50 or 2024-03-04", "x"), (501, "one 1 " * 20_000, "x"), (501, "one 1 " * 20_000, "x"), (None, "9" * 50_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    model = pii.fit(docs)
+    got = {x.doc_id: x for x in pii.annotate(docs, model).collect()}
+    text = rows[120][1]
+    found = [(k, text[int(s) : int(e)]) for k, s, e in (x.split(":") for x in got[500].spans.split(","))]
+    assert {("phone", "(743) 555-3824"), ("ip", "10[.]0[.]3[.]25")} <= set(found) and any(k == "email" and "place.org" in b for k, b in found)
+    assert not any("12.50" in b or "2024" in b for _, b in found) and got[500].n_ip == 0
+    assert pii.annotate(docs.limit(0), model).count() == 0 and pii.annotate(docs, model).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert pii.fit(docs.limit(0)).decode("9 9", [(0, 1), (2, 3)]) == []
+
+
+def test_top_k_prunes_blocks_and_holds_large_numbers(spark):
+    r = np.random.default_rng(4)
+    centres = r.integers(-40, 41, (40, 16))
+    d = __import__("pandas").DataFrame({"id": np.arange(4000), "v": list((centres[r.integers(0, 40, 4000)] + r.integers(-2, 3, (4000, 16))).astype(np.int64))})
+    q = d[d["id"] % 100 == 0]
+    found, scored, blocks = topk.search_range(q, d, 5, 32)
+    assert scored < 0.5 * blocks
+    v = np.stack(d["v"])
+    for i in q["id"]:
+        want = sorted((-int(v[i] @ v[j]), j) for j in range(4000) if j != i)[:5]
+        own = found[found["query_id"] == i]
+        assert list(zip(-own["score"], own["vec_id"])) == want
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (1, [1e30, 0.0]), (20, [-1e30, 2.0]), (21, [0.5, 0.5]), (None, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "id long, e array<float>").filter("id is not null").select("id", topk.quantise("e").alias("v"), F.lit(1).alias("score"))
+    got = topk.top_k(vectors, vectors.filter("id % 20 = 0"), 2).orderBy("query_id", "rank").collect()
+    big, small = 2**63 - 1, -(2**63) + 1
+    assert [(x.query_id, x.vec_id, x.score) for x in got] == [(0, 1, big), (0, 1, big), (20, 0, small), (20, 1, small)]
+    assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
