@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 LANGUAGE = r"^[a-z]{2}(-[A-Za-z]{2,4})?$"
 
 
+UNKNOWN = "unknown_part_"  # stands for an unknown part of a statement
+
+
 def node_id(kind: str, name: Column) -> Column:
     """kind:name."""
     return F.concat(F.lit(kind + ":"), name)
 
 
 def split_method(pattern: Column) -> Column:
-    """Method of a registration; ANY without one."""
-    m = F.regexp_extract(pattern, r"^(\S+)\s+", 1)
-    return F.when(m == "", "ANY").otherwise(m)
+    """Method of a registration, the part before its first space; ANY where there is none or it is a path."""
+    return F.when(pattern.contains(" ") & ~pattern.startswith("/"), F.substring_index(pattern, " ", 1)).otherwise("ANY")
 
 
 def split_path(pattern: Column) -> Column:
     """Pattern of a registration without its method."""
-    return F.regexp_replace(pattern, r"^\S+\s+", "")
+    return F.when(pattern.contains(" ") & ~pattern.startswith("/"), F.regexp_replace(pattern, r"^[^ ]* +", "")).otherwise(pattern)
 
 
 def collapse_language(pattern: Column) -> Column:
@@ -33,7 +35,7 @@ def url_path(url: Column) -> Column:
     """Path of a site URL: no query or fragment, empty for external or relative ones; an unknown prefix becomes a segment."""
     bare = F.regexp_replace(F.replace(url, F.lit("{?}"), F.lit("\u0000")), r"[?#].*$", "")
     bare = F.replace(bare, F.lit("\u0000"), F.lit("{?}"))
-    return F.when(bare.startswith("{?}/"), F.concat(F.lit("/"), bare)).when(bare.startswith("/") & ~bare.startswith("//"), bare).otherwise("")
+    return F.when(bare.contains("://"), "").when(bare.startswith("{?}/"), F.concat(F.lit("/"), bare)).when(bare.startswith("/") & ~bare.startswith("//"), bare).otherwise("")
 
 
 def short_name(name: Column) -> Column:
@@ -42,9 +44,10 @@ def short_name(name: Column) -> Column:
 
 
 def one_line(text: Column, most: int = 160) -> Column:
-    """White space collapsed, cut at so many characters."""
+    """White space collapsed, cut at so many bytes of UTF-8 (a character that is cut through goes)."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(flat, "UTF-8"), 1, most).cast("string")), "\ufffd+$", "")
+    return F.when(F.octet_length(flat) > most, F.concat(cut, F.lit("…"))).otherwise(flat)
 
 
 def position(file: Column, line: Column) -> Column:
@@ -54,16 +57,25 @@ def position(file: Column, line: Column) -> Column:
 
 def snake_case(name: Column) -> Column:
     """ORM column name of a field."""
-    return F.lower(F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"([A-Z]+)([A-Z][a-z])", "$1_$2"))
+    return F.lower(F.regexp_replace(name, r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})", "_"))
+
+
+# Irregular plurals of table names.
+IRREGULAR = {"person": "people", "man": "men", "woman": "women", "child": "children", "mouse": "mice"}
 
 
 def plural(word: Column) -> Column:
-    """ORM table name of a type, regular forms only."""
-    return (
+    """ORM table name of a type: irregular last parts, then the regular forms."""
+    last = F.substring_index(word, "_", -1)
+    head = F.substring(word, F.lit(1), F.length(word) - F.length(last))
+    regular = (
         F.when(word.rlike(r"[^aeiou]y$"), F.regexp_replace(word, r"y$", "ies"))
         .when(word.rlike(r"(s|x|z|ch|sh)$"), F.concat(word, F.lit("es")))
         .otherwise(F.concat(word, F.lit("s")))
     )
+    for one, many in IRREGULAR.items():
+        regular = F.when(last == one, F.concat(head, F.lit(many))).otherwise(regular)
+    return regular
 
 
 def hole_parameters(sql: Column) -> Column:
@@ -82,33 +94,79 @@ def concat_alternatives(left: Column, right: Column, most: int = 32) -> Column:
     return F.when(F.size(left) * F.size(right) > most, F.array(F.lit("{?}"))).otherwise(F.array_distinct(joined))
 
 
+_FIRST_WORD = r"(?is)^\s*(?:with\b.*?\)\s*)?(select|insert|update|delete|merge|create|alter|drop|truncate)\b"
+_TABLE_WORD = r'(?i)\b(from|join|into|update|table)\s+("?[A-Za-z_][\w$]*"?(?:\."?[A-Za-z_][\w$]*"?)?)'
+
+
+def first_op(sql: Column) -> Column:
+    """The op of a statement's first word; ddl for those that change the schema, other for what isn't known."""
+    word = F.lower(F.regexp_extract(sql, _FIRST_WORD, 1))
+    return F.when(word.isin("create", "alter", "drop", "truncate"), "ddl").when(word == "", "other").otherwise(word)
+
+
 def fallback_tables(sql: Column) -> Column:
-    """(op, table) found by key words in SQL text that no parser reads: a select's and a delete's tables keep those ops."""
-    found = F.regexp_extract_all(sql, F.lit(r"(?i)\b(INSERT\s+INTO|DELETE\s+FROM|UPDATE|FROM|JOIN|INTO|TABLE)\s+[A-Za-z_][A-Za-z0-9_.]*"), F.lit(0))
-    word = lambda m: F.upper(F.regexp_extract(m, r"^(\S+)", 1))
-    op = lambda m: F.when(word(m) == "INSERT", "insert").when(word(m) == "INTO", "insert").when(word(m) == "DELETE", "delete").when(word(m) == "UPDATE", "update").when(word(m) == "TABLE", "ddl").otherwise("select")
-    return F.array_distinct(F.transform(found, lambda m: F.struct(op(m).alias("op"), F.lower(F.regexp_extract(m, r"(\S+)$", 1)).alias("table"))))
+    """(op, table) found by key words in SQL text that can't be read otherwise: tables in order, a write goes before a select.
+
+    In a delete every table after FROM is deleted from; into takes the op of the statement.
+    """
+    words, names = (F.regexp_extract_all(sql, F.lit(_TABLE_WORD), F.lit(i)) for i in (1, 2))
+    op = first_op(sql)
+
+    def use(word: Column, name: Column) -> Column:
+        w = F.lower(word)
+        own = F.when(w == "into", op).when(w == "update", "update").when(w == "table", "ddl").when((w == "from") & (op == "delete"), "delete").otherwise("select")
+        return F.struct(own.alias("op"), F.replace(name, F.lit('"'), F.lit("")).alias("table"))
+
+    uses = F.filter(F.zip_with(words, names, use), lambda u: (F.lower(u["table"]) != "select") & (u["table"] != UNKNOWN))
+    writes = lambda t: F.filter(uses, lambda u: (u["table"] == t) & (u["op"] != "select"))
+    return F.transform(F.array_distinct(F.transform(uses, lambda u: u["table"])), lambda t: F.struct(F.coalesce(F.get(writes(t), F.lit(0))["op"], F.lit("select")).alias("op"), t.alias("table")))
+
+
+def _segments(path: Column) -> Column:
+    return F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/")
+
+
+def _is_wildcard(p: Column) -> Column:
+    return p.startswith("{") & p.endswith("}")
+
+
+def suffix_score(pattern: Column, path: Column) -> Column:
+    """Literals in common where the path's first segment is unknown and may stand for several: the rest against the pattern's end."""
+    p, q = _segments(pattern), _segments(path)
+    n, m = F.size(p), F.size(q)
+    tail, rest = F.slice(p, F.greatest(n - m + 2, F.lit(1)), F.greatest(m - 1, F.lit(0))), F.slice(q, F.lit(2), F.greatest(m - 1, F.lit(0)))
+    fit = F.zip_with(tail, rest, lambda a, b: F.when(a == b, 1).when((_is_wildcard(a) & (b != "")) | b.contains("{?}"), 0))
+    return F.when((m < 2) | (F.get(q, F.lit(0)) != "{?}") | (n < m) | F.exists(fit, lambda x: x.isNull()), 0).otherwise(F.size(F.filter(fit, lambda x: x == 1)))
 
 
 def match_score(pattern: Column, path: Column) -> Column:
-    """How well a route pattern fits a path: 3 for an equal segment, 2 for a wildcard, 1 for an unknown one; null for no fit.
+    """How well a route pattern fits a path: 3 for an equal segment, 2 for a wildcard, 1 for an unknown one; 0 for no fit.
 
-    A last {name...} takes the rest (one point more) if a literal came before; a fit needs a literal.
+    A last {name...} takes the rest (one point more) if a literal came before. A fit needs a literal; where there is none, or
+    a segment doesn't fit, a path with an unknown beginning may still fit the pattern's end (suffix_score).
     """
-    p, q = F.split(F.regexp_replace(pattern, r"^/", ""), "/"), F.split(F.regexp_replace(path, r"^/", ""), "/")
-    tail = F.element_at(p, -1).rlike(r"^\{.*\.\.\.\}$")
-    n = F.when(tail, F.size(p) - 1).otherwise(F.size(p))
-    pairs = F.zip_with(F.slice(p, F.lit(1), n), F.slice(q, F.lit(1), n), lambda a, b: F.when(a == b, 3).when(a.rlike(r"^\{.*\}$"), 2).when(b == "{?}", 1))
-    literals = F.size(F.filter(pairs, lambda s: s == 3))
-    fits = (F.size(q) >= n) & (tail | (F.size(q) == F.size(p))) & ~F.exists(pairs, lambda s: s.isNull()) & (literals > 0)
-    root = pattern.isin("/", "/{$}")
-    return F.when(root, F.when(path == "/", 3)).when(fits, F.aggregate(pairs, F.lit(0), lambda a, s: a + s) + tail.cast("int"))
+    p, q = _segments(pattern), _segments(path)
+    n, m = F.size(p), F.size(q)
+    start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("literals"), F.lit(None).cast("int").alias("end"))
+
+    def step(acc: Column, i: Column) -> Column:
+        a, b = F.get(p, i), F.get(q, i)
+        tail = _is_wildcard(a) & a.endswith("...}")
+        points = F.when(a == b, 3).when(_is_wildcard(a) & (b != ""), 2).when(b.contains("{?}"), 1)
+        end = F.when(acc["end"].isNotNull(), acc["end"]).when(tail, F.when((i >= m) | (acc["literals"] == 0), 0).otherwise(acc["score"] + 1)).when((i >= m) | points.isNull(), -1)
+        return F.struct((acc["score"] + F.coalesce(points, F.lit(0))).alias("score"), (acc["literals"] + F.coalesce((a == b).cast("int"), F.lit(0))).alias("literals"), end.alias("end"))
+
+    def finish(acc: Column) -> Column:
+        return F.coalesce(acc["end"], F.when((n != m) | (acc["literals"] == 0), -1).otherwise(acc["score"]))
+
+    whole = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, finish)
+    return F.when(pattern.isin("/", "/{$}"), F.when(path == "/", 3).otherwise(0)).when(whole < 0, suffix_score(pattern, path)).otherwise(whole)
 
 
 def positional(sql: Column) -> Column:
-    """Placeholders ? and :name as $1, $2, ...; quoted text and casts (::) stay."""
-    tokens = F.regexp_extract_all(sql, F.lit(r"'[^']*'|::|:[A-Za-z_][A-Za-z0-9_]*|\?|[^'?:]+|."), F.lit(0))
-    hole = lambda t: t.rlike(r"^(\?|:[A-Za-z_].*)$")
+    """Placeholders ? and :name or :name.field as $1, $2, ...; quoted text, to the end if it stays open, and casts (::) stay."""
+    tokens = F.regexp_extract_all(sql, F.lit(r"""(?s)'[^']*'?|"[^"]*"?|::|:[\p{L}_][\p{L}\p{Nd}_.]*|\?|[^'"?:]+|:"""), F.lit(0))
+    hole = lambda t: t.rlike(r"^(\?|:[\p{L}_])")
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
@@ -126,3 +184,64 @@ def resolved(values: Column) -> Column:
 def request_shape(path: Column) -> Column:
     """A route's path with unnamed parameters, for comparing requests."""
     return F.regexp_replace(path, r"\{[^}]*\}", "{}")
+
+
+def table_id(table: Column) -> Column:
+    """Id of a table's node."""
+    return node_id("sql_table", table)
+
+
+def column_id(table: Column, column: Column) -> Column:
+    """Id of a column's node."""
+    return node_id("sql_column", F.concat_ws(".", table, column))
+
+
+def sink_id(kind: Column, file: Column, line: Column, col: Column) -> Column:
+    """Id of a sink: its kind and place."""
+    return F.concat_ws(":", kind, file, line.cast("string"), col.cast("string"))
+
+
+# What a foreign key does on delete, by its letter.
+ON_DELETE = {"c": "cascade", "n": "set null", "d": "set default", "r": "restrict"}
+
+
+def fk_action(letter: Column) -> Column:
+    """Name of an action; empty for others."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in ON_DELETE.items() for x in p]), letter), F.lit(""))
+
+
+def in_module(package: Column, module: str) -> Column:
+    """Whether a package is the module or below it."""
+    return (package == module) | package.startswith(module + "/")
+
+
+def external(kind: Column, flag: Column) -> Column:
+    """Whether a node lies outside the module; calls through an interface are followed."""
+    return (F.coalesce(flag, F.lit("")) == "true") & (kind != "interface_call")
+
+
+def reference_kind(element: Column, attribute: Column) -> Column:
+    """What a URL attribute makes: request, asset or link."""
+    return F.when(attribute.startswith("hx-"), "request").when((element == "form") & (attribute == "action"), "link").when(element.isin("img", "script", "link", "source", "video", "audio", "iframe"), "asset").otherwise("link")
+
+
+def join_path(prefix: Column, path: Column) -> Column:
+    """A prefix and a path with one slash between them."""
+    return F.concat(F.regexp_replace(prefix, "/+$", ""), F.when(path.startswith("/") | (path == ""), path).otherwise(F.concat(F.lit("/"), path)))
+
+
+def fold_format(text: Column, arguments: Column) -> Column:
+    """A format with its verbs replaced, in order, by lists of alternatives: all results, {?} for a verb without a known value."""
+    pieces = F.split(text, r"%[a-z]", -1)
+    known = lambda i: F.coalesce(F.get(arguments, i), F.array(F.lit("{?}")))
+    start = F.array(F.get(pieces, F.lit(0)))
+
+    def step(acc: Column, i: Column) -> Column:
+        return concat_alternatives(concat_alternatives(acc, known(i)), F.array(F.get(pieces, i + 1)))
+
+    return F.when(F.size(pieces) == 1, start).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 2, F.lit(0))), start, step))
+
+
+def line_at(text: Column, offset: Column) -> Column:
+    """Line, from 1, of a byte offset."""
+    return F.regexp_count(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset).cast("string")), F.lit("\n")) + 1
