@@ -230,7 +230,7 @@ def link_paths(spark, d):
     return links.groupBy("page_id", X.url_path(F.col("url")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("""SELECT l_orderkey AS k, l_linenumber AS line, unnest(CASE l_returnflag WHEN 'A' THEN ['update:part_' || l_partkey] WHEN 'R' THEN ['delete:part_' || l_partkey, 'select:supplier_' || l_suppkey]
+@register("""SELECT l_orderkey AS k, l_linenumber AS line, unnest(CASE l_returnflag WHEN 'A' THEN ['update:part_' || l_partkey] WHEN 'R' THEN ['delete:part_' || l_partkey, 'delete:Supplier_' || l_suppkey]
  ELSE ['insert:log_' || l_suppkey, 'select:part_' || l_partkey] END) AS use FROM lineitem""", graph=False)
 def fallback_sql_tables(spark, d):
     """Table uses that key words show in statements made from order lines."""
@@ -318,11 +318,15 @@ def plural_names(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("k"), X.plural(F.lower(F.split("p_name", " ")[0])).alias("plural"))
 
 
-@register()
+_BEST = "CASE WHEN lang = 'en' AND n = 2 THEN '/en/{id}' WHEN lang = 'de' AND n >= 2 THEN '/de/{rest...}' WHEN lang = 'fr' AND n = 2 THEN '/fr/{id}/' END"
+
+
+@register(f"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[^:]*://[^/]*', ''), '[?#].*$', '') AS path FROM pages), q AS (SELECT *, string_split(trim(path, '/'), '/') AS s, len(s) AS n, s[1] AS lang FROM p)
+ SELECT page_id, path, {_BEST} AS pattern, CASE {_BEST} WHEN '/de/{{rest...}}' THEN 4 WHEN '/en/{{id}}' THEN 5 WHEN '/fr/{{id}}/' THEN 5 END::INTEGER AS score FROM q""", graph=False)
 def match_route(spark, d):
     """The best route pattern for the path of every page."""
     pages = read(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", r"^[^:]*://[^/]*", ""), r"[?#].*$", "").alias("path"))
-    patterns = [(i, p) for i, p in enumerate(("/{$}", "/en/{id}", "/{lang}/{id}", "/de/{rest...}", "/fr/{id}/"))]
-    scored = pages.select("page_id", "path", *[X.match_score(F.lit(p), F.col("path")).alias(f"s{i}") for i, p in patterns])
-    best = F.array_max(F.filter(F.array(*[F.struct(F.col(f"s{i}").alias("score"), F.lit(-i).alias("place"), F.lit(p).alias("pattern")) for i, p in patterns]), lambda x: x["score"].isNotNull()))
-    return scored.select("page_id", "path", best["pattern"].alias("pattern"), best["score"].alias("score"))
+    patterns = list(enumerate(("/{$}", "/en/{id}", "/{lang}/{id}", "/de/{rest...}", "/fr/{id}/")))
+    scored = pages.select("page_id", "path", F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), X.match_score(F.lit(p), F.col("path")).alias("score"), F.lit(-i).alias("place")) for i, p in patterns])).alias("s"))
+    best = scored.groupBy("page_id", "path").agg(F.max(F.when(F.col("s.score") > 0, F.struct("s.score", "s.place", "s.pattern"))).alias("b"))
+    return best.select("page_id", "path", F.col("b.pattern").alias("pattern"), F.col("b.score").alias("score"))
