@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..operators import flow, search as S, store, traverse
 from ..sources import driver_tables as D
 from ..sources.driver_tables import read
 from ..streaming import changes
+from .staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,10 +37,17 @@ def _flow_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.join(branches, F.col("src") == F.col("_id"), "left").select("src", "dst", "kind", "methods", "op", F.coalesce("branches", F.lit("")).alias("branches"))
 
 
-def _reach(spark: SparkSession, d: str) -> DataFrame:
-    """(root, method, node, depth) reached from every route under its method."""
+def _reach(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
+    """(root, node, depth, method) reached from every route under its method, but for sinks, which lead no further."""
     seeds = D.nodes(spark, d).filter("kind = 'route'").select(F.col("id").alias("root"), F.col("id").alias("node"), F.col("attrs")["method"].alias("method"))
-    return traverse.closure(seeds, _flow_edges(spark, d), traverse.runs(F.col("methods"), F.col("branches"), F.col("method")))
+    edges = _flow_edges(spark, d) if edges is None else edges
+    return traverse.closure(seeds, edges.filter(~F.col("dst").startswith("sink.")), traverse.runs(F.col("methods"), F.col("branches"), F.col("method")))
+
+
+def _with_sinks(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """reached and the sinks that it calls."""
+    last = reached.join(edges.filter(F.col("dst").startswith("sink.")), F.col("node") == F.col("src")).filter(traverse.runs(F.col("methods"), F.col("branches"), F.col("method")))
+    return reached.select("root", "node").union(last.select("root", F.col("dst").alias("node")).distinct())
 
 
 _RUNS = "(e.methods = '' OR w.method IN ('', 'ANY') OR list_contains(string_split(e.methods, ','), w.method) OR (list_contains(string_split(e.methods, ','), '*') AND NOT list_contains(string_split(coalesce(n.branches, ''), ','), w.method)))"
@@ -51,25 +58,41 @@ _REACH = f""", reach AS (
 
 @register(f"{_REACH} SELECT DISTINCT root AS route, dst AS tbl, op FROM reach JOIN edges ON node = src AND kind = 'queries'")
 def table_routes(spark, d):
-    """Which routes read or write which table."""
-    q = D.edges(spark, d).filter("kind = 'queries'").select("src", "dst", "op")
-    return _reach(spark, d).join(q, F.col("node") == F.col("src")).select(F.col("root").alias("route"), F.col("dst").alias("tbl"), "op").distinct()
+    """Which routes read or write which table: what a method's statements use is found once and joined to the routes that reach it."""
+    e = staged(_flow_edges(spark, d).union(D.edges(spark, d).filter("kind = 'queries'").select("src", "dst", "kind", "methods", "op", F.lit("").alias("branches"))), "flow-edges")
+    q = e.filter("kind = 'queries'").select(F.col("src").alias("sink"), F.col("dst").alias("tbl"), "op")
+    uses = e.filter(F.col("dst").startswith("sink.")).drop("op").join(q, F.col("dst") == F.col("sink")).select("src", "methods", "branches", "tbl", "op").distinct()
+    found = _reach(spark, d, e.filter("kind <> 'queries'")).join(uses, F.col("node") == F.col("src")).filter(traverse.runs(F.col("methods"), F.col("branches"), F.col("method")))
+    return found.select(F.col("root").alias("route"), "tbl", "op").distinct()
 
 
 @register(f"{_REACH} SELECT root AS route, string_split(node, ':')[1] AS kind, count(*) AS n FROM reach GROUP BY ALL")
 def flow_reach(spark, d):
     """Nodes of each kind in each route's flow."""
-    return _reach(spark, d).groupBy(F.col("root").alias("route"), F.substring_index("node", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    e = staged(_flow_edges(spark, d), "flow-edges")
+    return _with_sinks(_reach(spark, d, e), e).groupBy(F.col("root").alias("route"), F.substring_index("node", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tree_edges(spark, d):
+    """(root, src, dst, kind, op) that a flow of each route may take under its method."""
+    e = staged(_flow_edges(spark, d), "flow-edges")
+    reached = _reach(spark, d, e)
+    calls = reached.join(e, F.col("node") == F.col("src")).filter(traverse.runs(F.col("methods"), F.col("branches"), F.col("method"))).select("root", "src", "dst", "kind", "op")
+    q = D.edges(spark, d).filter("kind = 'queries'").select(F.col("src").alias("sink"), F.col("dst").alias("tbl"), F.col("op").alias("use"))
+    return calls.union(calls.join(q, F.col("dst") == F.col("sink")).select("root", "sink", "tbl", F.lit("queries"), "use").distinct())
 
 
 @register()
 def flow_tree(spark, d):
     """Flow trees of all routes as pre-order rows."""
-    reached = _reach(spark, d).withColumnRenamed("method", "m")
-    e = _flow_edges(spark, d).union(D.edges(spark, d).filter("kind = 'queries'").select("src", "dst", "kind", "methods", "op", F.lit("").alias("branches")))
-    inside = reached.join(e, F.col("node") == F.col("src")).filter((F.col("kind") == "queries") | traverse.runs(F.col("methods"), F.col("branches"), F.col("m")))
-    own = inside.select("root", "node", "dst", "kind", "op").withColumnRenamed("node", "src")
-    return flow.trees(own.select("root", F.col("src").alias("node")), own.select("src", "dst", "kind", "op").distinct())
+    return flow.trees(_tree_edges(spark, d))
+
+
+@register(f"{_REACH} SELECT DISTINCT root, op || ' ' || dst AS use FROM reach JOIN edges ON node = src AND kind = 'queries'")
+def flow_tree_tables(spark, d):
+    """What the sinks of all flow trees use."""
+    rows = flow.trees(_tree_edges(spark, d)).filter("mark = 'sink' AND tables <> ''")
+    return rows.select("root", F.explode(F.split("tables", ",")).alias("use")).distinct()
 
 
 @register("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
@@ -170,14 +193,14 @@ def guard_fixpoint(spark, d):
 
 
 @register(""", f AS (SELECT src, dst FROM edges WHERE kind = 'fk'), u AS (SELECT src, dst FROM f UNION SELECT dst, src FROM f),
- s AS (SELECT 'sql_table:' || p_partkey AS t FROM part WHERE p_partkey % 100 = 0), h AS (SELECT t AS root, t AS node, 0 AS depth FROM s UNION SELECT h.root, u.dst, h.depth + 1 FROM h JOIN u ON u.src = h.node WHERE h.depth < 2)
+ s AS (SELECT 'sql_table:' || p_partkey AS t FROM part), h AS (SELECT t AS root, t AS node, 0 AS depth FROM s UNION SELECT h.root, u.dst, h.depth + 1 FROM h JOIN u ON u.src = h.node WHERE h.depth < 1)
  SELECT root, node, min(depth)::INTEGER AS depth FROM h GROUP BY root, node""")
 def fk_neighborhood(spark, d):
-    """Tables within two references, either way, of every hundredth table."""
+    """Tables within one reference, either way, of every table."""
     f = D.edges(spark, d).filter("kind = 'fk'").select("src", "dst")
     both = f.union(f.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seeds = read(spark, d, "part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("sql_table:"), F.col("p_partkey").cast("string")).alias("root")).withColumn("node", F.col("root"))
-    return traverse.closure(seeds, both, max_depth=2).select("root", "node", "depth")
+    seeds = read(spark, d, "part").select(F.concat(F.lit("sql_table:"), F.col("p_partkey").cast("string")).alias("root")).withColumn("node", F.col("root"))
+    return traverse.closure(seeds, both, max_depth=1).select("root", "node", "depth")
 
 
 @register("""SELECT id, kind, name, (contains(lower(name), 'an')::INT * 10 + contains(lower(detail), 'an')::INT + contains(lower(package), 'an')::INT * 2 + contains(lower(id), 'an')::INT
@@ -293,7 +316,7 @@ def paths_topk(spark, d):
     """The three first simple call paths, in either direction, from every function to the one two steps on."""
     e = D.edges(spark, d).filter(F.col("kind") == "calls").filter(F.col("src").startswith("func:") & F.col("dst").startswith("func:")).select("src", "dst")
     e = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    e = e.withColumn("id", F.row_number().over(W.orderBy("src", "dst")).cast("long"))
+    e = store.ordered_ids(e, ["src", "dst"])
     k = F.substring("src", 6, 20).cast("long")
     pairs = e.select(F.col("src").alias("source"), F.concat(F.lit("func:"), ((k - k % 5) + (k + 2) % 5).cast("string")).alias("target")).distinct()
     return traverse.paths(pairs, e, depth=4, limit=3)
