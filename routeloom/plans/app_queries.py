@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import details, facts, statements, traverse
-from ..sources import app_tables as A
+from ..sources import app_tables as A, migrations, schema, templates
 from ..sources.driver_tables import read
 from .queries import QUERIES, SQL
 
@@ -460,3 +460,82 @@ def folded_formats(spark, d):
     o = read(spark, d, "orders")
     known = F.when(F.col("o_orderstatus") == "F", F.array(F.array(F.col("o_custkey").cast("string")), F.array(F.col("o_orderpriority"), F.lit("x")))).otherwise(F.array(F.array(F.col("o_custkey").cast("string"))))
     return o.select(F.col("o_orderkey").alias("k"), F.array_join(X.fold_format(F.lit("/u/%d/%s"), known), "|").alias("urls"), X.hole_parameters(F.lit("select a from t limit ${?}{?}")).alias("sql"))
+
+
+_DDL = """WITH o AS (SELECT o_custkey AS db, o_orderkey AS k, 't' || o_orderkey AS t, 'u' || o_custkey AS u, o_orderkey % 4 AS f FROM orders), a AS (SELECT *, CASE f WHEN 0 THEN 'r' || k ELSE t END AS tbl FROM o WHERE f <> 2)
+ SELECT db, tbl AS "table", 'column' AS part, unnest(range(3))::INTEGER AS at, unnest(['id', 'owner', CASE f WHEN 1 THEN 'extra' WHEN 3 THEN 'memo' ELSE 'note' END]) AS name, '' AS columns, unnest(['bigserial', 'int8', CASE f WHEN 1 THEN 'text[]' ELSE 'varchar' END]) AS type, unnest(['not null', 'not null', '']) AS detail FROM a
+ UNION ALL SELECT db, tbl, 'primary', 0, '', 'id', '', '' FROM a
+ UNION ALL SELECT db, tbl, 'reference', 0, '', 'owner', u, 'id cascade' FROM a
+ UNION ALL SELECT db, tbl, 'index', 0, 'un' || k, 'owner,note', '', 'unique' FROM a
+ UNION ALL SELECT db, tbl, 'index', 1, 'ix' || k, 'memo', '', 'unique' FROM a WHERE f = 3"""
+
+
+@register(_DDL, graph=False)
+def ddl_replay(spark, d):
+    """Schemas after the migrations of every customer's database: a table for each order, some renamed, changed or dropped."""
+    o, k = read(spark, d, "orders"), F.col("o_orderkey").cast("string")
+    c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    t = c("t", k)
+    sql = c("-- one table\nCREATE TABLE IF NOT EXISTS ", t, " (\n id bigserial PRIMARY KEY, owner bigint NOT NULL REFERENCES u", F.col("o_custkey").cast("string"), " (id) ON DELETE CASCADE,\n note varchar(20) DEFAULT 'a;b', CONSTRAINT un", k, " UNIQUE (owner, note));\n")
+    form = F.col("o_orderkey") % 4
+    more = F.when(form == 0, c("ALTER TABLE ", t, " RENAME TO r", k)).when(form == 1, c("ALTER TABLE ", t, " DROP COLUMN note, ADD COLUMN extra text[]")).when(form == 2, c("DROP TABLE IF EXISTS ", t, "; SELECT 1")).otherwise(c("ALTER TABLE ", t, " RENAME COLUMN note TO memo; CREATE UNIQUE INDEX ix", k, " ON ", t, " (memo)"))
+    return schema.replay(o.select(F.col("o_custkey").alias("db"), F.col("o_orderkey").alias("seq"), F.concat(sql, more).alias("sql")))
+
+
+@register("""WITH f AS (SELECT DISTINCT CASE o_orderkey % 6 WHEN 0 THEN 'm' || o_custkey || '/src/main/resources/db/migration' WHEN 1 THEN 'm' || o_custkey || '/src/main/resources/db/migration/mysql' WHEN 2 THEN 'm' || o_custkey || '/src/main/resources/db/migration/postgresql'
+  WHEN 3 THEN 'target/m' || o_custkey || '/src/main/resources/db/migration' WHEN 4 THEN 'n' || o_custkey || '/src/main/resources/db/migration/h2' ELSE 'x' || o_custkey || '/sql' END AS dir, o_orderkey % 6 AS f, o_custkey AS c FROM orders)
+ SELECT dir FROM f WHERE f IN (0, 4) OR (f = 2 AND c NOT IN (SELECT c FROM f WHERE f = 0)) OR (f = 1 AND c NOT IN (SELECT c FROM f WHERE f IN (0, 2)))""", graph=False)
+def flyway_folders(spark, d):
+    """Migration folders of modules, of several databases' the one for postgres."""
+    o, k, c = read(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    base = "/src/main/resources/db/migration"
+    dirs = F.when(k % 6 == 0, F.concat(F.lit("m"), c, F.lit(base))).when(k % 6 == 1, F.concat(F.lit("m"), c, F.lit(base + "/mysql"))).when(k % 6 == 2, F.concat(F.lit("m"), c, F.lit(base + "/postgresql")))
+    dirs = dirs.when(k % 6 == 3, F.concat(F.lit("target/m"), c, F.lit(base))).when(k % 6 == 4, F.concat(F.lit("n"), c, F.lit(base + "/h2"))).otherwise(F.concat(F.lit("x"), c, F.lit("/sql")))
+    return migrations.flyway_dirs(o.select(F.concat(dirs, F.lit("/V"), k.cast("string"), F.lit("__a.sql")).alias("path")))
+
+
+@register("""WITH f AS (SELECT DISTINCT 'web/n' || o_custkey % 7 || '/' || CASE o_orderkey % 2 WHEN 0 THEN 'p' ELSE 'q' END || o_orderkey % 50 || '.html' AS path, o_custkey % 7 AS dir, o_orderkey % 2 AS q, o_orderkey % 50 AS n FROM orders), s AS (SELECT DISTINCT o_custkey % 7 AS dir FROM orders)
+ SELECT 's' || s.dir AS source, path FROM s JOIN f USING (dir) WHERE (q = 0 AND n < 10) OR n = 33""", graph=False)
+def template_files(spark, d):
+    """Files that template patterns name."""
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    folder = (F.col("o_custkey") % 7).cast("string")
+    files = o.select(F.concat(F.lit("web/n"), folder, F.lit("/"), F.when(k % 2 == 0, "p").otherwise("q"), (k % 50).cast("string"), F.lit(".html")).alias("path")).distinct()
+    patterns = o.select(folder.alias("f")).distinct().select(F.concat(F.lit("s"), "f").alias("source"), F.explode(F.array(F.concat(F.lit("web/n"), "f", F.lit("/p?.html")), F.concat(F.lit("web/n"), "f", F.lit("/q33*.html")))).alias("glob"))
+    return templates.matching_files(files, patterns)
+
+
+def _templates(spark, d):
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    next_ = F.concat(F.lit("t"), (k - k % 6 + (k + 1) % 6).cast("string"))
+    text = F.concat(F.lit("{{/* note */}}<p>{{if .Ok}}"), k.cast("string"), F.lit("{{else}}none{{end}}</p>{{.Title}}"), F.when(k % 6 < 4, F.concat(F.lit('{{template "'), next_, F.lit('" .}}'))).otherwise(""))
+    return o.select(F.concat(F.lit("t"), k.cast("string")).alias("name"), text.alias("text"))
+
+
+@register("SELECT 't' || o_orderkey AS name, '<p>' || o_orderkey || 'none</p>{?}' AS text, CASE WHEN o_orderkey % 6 < 4 THEN 't' || (o_orderkey - o_orderkey % 6 + (o_orderkey + 1) % 6) ELSE '' END AS uses FROM orders", graph=False)
+def flat_templates(spark, d):
+    """Templates without their actions, and what they include."""
+    return templates.flattened(_templates(spark, d)).select("name", "text", F.array_join("uses", ",").alias("uses"))
+
+
+@register("""WITH RECURSIVE e AS (SELECT 't' || o_orderkey AS src, 't' || (o_orderkey - o_orderkey % 6 + (o_orderkey + 1) % 6) AS dst FROM orders WHERE o_orderkey % 6 < 4), n AS (SELECT 't' || o_orderkey AS name FROM orders),
+ w AS (SELECT name AS root, name AS node, 0 AS depth FROM n UNION ALL SELECT root, dst, depth + 1 FROM w JOIN e ON src = node JOIN n ON name = dst) SELECT root, node, depth::INTEGER AS depth FROM w""", graph=False)
+def template_includes(spark, d):
+    """Every template with all that it includes."""
+    return templates.includes(templates.flattened(_templates(spark, d)))
+
+
+@register("SELECT 't' || o_orderkey AS name, 'Title' AS field, CASE WHEN o_orderkey % 3 = 0 THEN 'v' || o_custkey ELSE (SELECT string_agg(DISTINCT 'p' || p_size, ',' ORDER BY 'p' || p_size) FROM part) END AS values FROM orders", graph=False)
+def template_values(spark, d):
+    """What fields of templates may hold: stored for the template, else anywhere."""
+    values = read(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("scope"), F.lit("Title").alias("field"), F.concat(F.lit("v"), F.col("o_custkey").cast("string")).alias("value"))
+    anywhere = read(spark, d, "part").select(F.lit("main").alias("scope"), F.lit("Title").alias("field"), F.concat(F.lit("p"), F.col("p_size").cast("string")).alias("value"))
+    return templates.resolved_values(_templates(spark, d), values, anywhere).select("name", "field", F.array_join("values", ",").alias("values"))
+
+
+@register("""WITH l AS (SELECT page_id AS id, unnest(regexp_extract_all(html, '<(?:a|form|img|script|link|div|button)\\b[^>]*>')) AS tag FROM pages), x AS (SELECT id, regexp_extract(tag, '^<([a-z]+)', 1) AS element, regexp_extract(tag, '\\s(href|src|action)\\s*=\\s*"([^"]*)"', 1) AS attribute, regexp_extract(tag, '\\s(?:href|src|action)\\s*=\\s*"([^"]*)"', 1) AS url, tag FROM l)
+ SELECT id, element, attribute, url, CASE element WHEN 'a' THEN 'GET' WHEN 'form' THEN 'GET' ELSE '' END AS method, count(*) AS n FROM x WHERE attribute <> '' AND url <> '' AND NOT starts_with(url, '#') AND NOT starts_with(url, 'javascript:') AND (element <> 'link' OR contains(tag, 'stylesheet') OR contains(tag, 'icon')) GROUP BY ALL""", graph=False)
+def page_references(spark, d):
+    """URLs in the markup of every page with their methods."""
+    rows = templates.references(read(spark, d, "pages").select(F.col("page_id").alias("id"), "html"))
+    return rows.groupBy("id", "element", "attribute", "url", "method").agg(F.count(F.lit(1)).alias("n"))

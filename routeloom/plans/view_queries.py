@@ -160,10 +160,14 @@ def migration_order(spark, d):
     return rows.select(F.col("o_custkey").alias("app"), F.col("o_orderkey").alias("k"), F.row_number().over(W.partitionBy("o_custkey").orderBy(*M.run_order())).alias("place"))
 
 
-@register("""SELECT 'f' || o_orderkey AS path, unnest(range(1, 6))::INTEGER AS line, unnest(['-- +goose Up', 'create table t' || o_custkey, '', '', '']) AS text FROM orders""", graph=False)
+@register("""SELECT 'f' || o_orderkey AS path, unnest(range(1, 8))::INTEGER AS line, unnest(CASE o_orderkey % 3 WHEN 0 THEN ['-- +goose Up', 'create table t' || o_custkey, '', '', '', '', ''] WHEN 1 THEN ['', '', '-- +goose Up', 'create table u' || o_custkey, 'x', '', '']
+ ELSE ['-- plain', 'create table t' || o_custkey, '', '', '-- +goose Up', 'create table v', 'y'] END) AS text FROM orders""", graph=False)
 def migration_up_lines(spark, d):
     """The part of each file that builds, with its line numbers."""
-    text = F.concat(F.lit("-- +goose Up\ncreate table t"), F.col("o_custkey").cast("string"), F.lit("\n\n-- +goose Down\ndrop table t"), F.col("o_custkey").cast("string"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("-- +goose Up\ncreate table t"), c, F.lit("\n\n-- +goose Down\ndrop table t"), c, F.lit("\n\n")))
+    text = text.when(k % 3 == 1, F.concat(F.lit("-- +goose Down\ndrop table u\n-- +goose Up\ncreate table u"), c, F.lit("\nx\n-- +goose Down\nz")))
+    text = text.otherwise(F.concat(F.lit("-- plain\ncreate table t"), c, F.lit("\n-- +goose Down\nno\n-- +goose Up\ncreate table v\ny")))
     return M.up_lines(read(spark, d, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), text.alias("text")))
 
 

@@ -39,11 +39,36 @@ def up_files(files: DataFrame) -> DataFrame:
 
 
 def versioned(files: DataFrame) -> DataFrame:
-    """Adds version (parts as numbers) to V and R files and drops U files. Null version: repeatable, to be run last by name."""
+    """Adds version (parts as numbers) to V and R files of folders that hold no other ones, and drops U files; else version is empty.
+
+    Null version: repeatable, to be run last by name. A folder with a file of another form is run by name.
+    """
     name = file_name(F.col("path"))
-    kind, digits = F.substring(name, 1, 1), F.regexp_extract(name, r"^V([0-9]+(?:[._][0-9]+)*)__", 1)
-    version = F.when(digits != "", F.transform(F.split(digits, "[._]"), lambda p: p.cast("long")))
-    return files.filter(name.rlike(r"^(V[0-9]+([._][0-9]+)*|R)__.*\.sql$")).withColumn("version", F.when(kind == "V", version))
+    kind, digits = F.substring(name, 1, 1), F.regexp_extract(name, r"^[VU]([0-9]+(?:[._][0-9]+)*)__", 1)
+    fits = name.rlike(r"^([VU][0-9]+([._][0-9]+)*|R)__.*\.sql$")
+    stray = files.filter(~fits).select(folder(F.col("path")).alias("_dir"), F.lit(True).alias("_stray")).distinct()
+    rows = files.withColumn("_dir", folder(F.col("path"))).join(stray, "_dir", "left")
+    version = F.when(F.col("_stray"), F.array().cast("array<bigint>")).when(kind == "V", F.transform(F.split(digits, "[._]"), lambda p: p.cast("long")))
+    return rows.filter(F.col("_stray").isNotNull() | (kind != "U")).withColumn("version", version).drop("_dir", "_stray")
+
+
+# Folders that hold no sources.
+SKIPPED = ("target", "node_modules", "build", "out")
+
+
+def flyway_dirs(files: DataFrame) -> DataFrame:
+    """(dir) of files (path): migration folders of modules, or those below them that hold files, of which one for postgres goes alone.
+
+    Hidden and build folders are skipped.
+    """
+    rows = files.filter(F.col("path").endswith(".sql")).select(folder(F.col("path")).alias("dir")).distinct()
+    base = F.regexp_extract("dir", r"^((?:.*/)?src/main/resources/db/migration)(?:/[^/]+)?$", 1)
+    skip = F.exists(F.split("dir", "/"), lambda p: p.startswith(".") | p.isin(*SKIPPED))
+    rows = rows.withColumn("base", base).filter((F.col("base") != "") & F.col("base").contains("/src/") & ~skip)
+    rank = F.when(F.col("dir") == F.col("base"), 0).when(F.lower(file_name(F.col("dir"))).startswith("postgres"), 1).otherwise(2)
+    rows = rows.withColumn("rank", rank)
+    best = rows.groupBy("base").agg(F.min("rank").alias("best"), F.min(F.when(F.col("rank") == 1, F.col("dir"))).alias("first"))
+    return rows.join(best, "base").filter((F.col("rank") == F.col("best")) & ((F.col("best") != 1) | (F.col("dir") == F.col("first")))).select("dir")
 
 
 def run_order() -> list[Column]:
