@@ -8,7 +8,7 @@ left out (the allowed error), so all such pairs share a key: a distance of 15 of
 5 on average. Candidates are confirmed on the full sets.
 
 No group is expanded into all pairs. Documents with equal sets are one class with one representative. Representatives that
-share a key are first compared with three pivots of the key; the confirmed links give components. Only pairs that share a
+share a key are first compared with three pivots of the key, of which one is the most central; the confirmed links give components. Only pairs that share a
 key and lie in different components after that can still matter. In a group that is alike but not linked those would be all
 pairs, so they are found by what is rare in them: each set is put in one order, rarest shingle first, and a link at the
 threshold must share a shingle among the first few of both (as many as may be missing, plus one). The join is on that shingle
@@ -167,9 +167,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     reps = stage(some.groupBy("digest").agg(F.min(key).alias("rep"), F.min("n").alias("n"), F.min("signature").alias("signature")), "classes")
     keys = index_keys(reps)
     first = lambda salt: F.min(F.struct(F.xxhash64("rep", F.lit(salt)), "rep"))["rep"]
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.array(F.min("rep"), first(1), first(2)).alias("pivots")).filter("members > 1")
-    members = stage(keys.join(shared.drop("members"), "key"), "members")
-    sets = stage(shingle_sets(docs, members.select(F.col("rep").alias("id")).distinct(), k, key), "sets")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    grouped = stage(keys.join(sizes, "key"), "shared-keys")
+    sets = stage(shingle_sets(docs, grouped.select(F.col("rep").alias("id")).distinct(), k, key), "sets")
+    middle = F.max_by("rep", F.struct("central", F.xxhash64("rep")))
+    pivots = grouped.join(centrality(sets), F.col("rep") == F.col("id")).groupBy("key").agg(F.array(middle, first(1), first(2)).alias("pivots"))
+    members = stage(grouped.drop("members").join(pivots, "key"), "members")
 
     arms = members.select("rep", F.explode(F.array_distinct("pivots")).alias("pivot")).filter("rep <> pivot")
     pairs = arms.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
@@ -207,6 +210,18 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
     return counts
 
 
+def centrality(sets: DataFrame) -> DataFrame:
+    """(id, central) of sets (id, shingles): the mean logarithm of how often a set's shingles occur, by bucket: high in the middle of a large group."""
+    counts = sets.sparkSession.sparkContext.broadcast(np.log(np.maximum(bucket_counts(sets), 1)).astype(np.float32))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            made = [float(counts.value[(np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(BUCKETS)).astype(np.int64)].mean(dtype=np.float64)) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.float64())], ["id", "central"])
+
+    return sets.select("id", "shingles").mapInArrow(run, T.StructType([sets.schema["id"], T.StructField("central", T.DoubleType())]))
+
+
 def least_common(n: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
     """Least size of the intersection of linked sets of these sizes: 100 * i >= percent * (n + other - i)."""
     return -(-percent * (n + other) // (100 + percent))
@@ -241,12 +256,13 @@ def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
             at = pa.array(c[3])
             yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].astype(np.int32)), pa.array(c[2].astype(bool)), b.column(0).take(at), b.column(1).take(at), pa.array(c[4]), pa.array(c[5])], schema.names)
 
-    first = stage(own.mapInArrow(run, schema), "first-shingles")
+    first = own.mapInArrow(run, schema)  # made twice rather than written: it is larger than the sets
     of_both = first.groupBy("shingle", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("small").alias("some"), F.bool_or(~F.col("small")).alias("more")).filter("lo <> hi AND some AND more")
     first = first.join(of_both.select("shingle", "band"), ["shingle", "band"], "left_semi")
     x, y = first.filter("small").alias("x"), first.filter("NOT small").alias("y")
     close = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label"))
-    close &= (F.col("x.n") <= F.col("y.n")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
+    close &= (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))  # each pair one way
+    close &= 100 * F.col("x.n") >= percent * F.col("y.n")
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     # what comes before the first shingle in common is common to neither; the first one passes
     close &= 100 * rest >= percent * (F.col("x.n") + F.col("y.n") - rest)
