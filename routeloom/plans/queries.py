@@ -345,11 +345,11 @@ _BEST = "CASE WHEN lang = 'en' AND n = 2 THEN '/en/{id}' WHEN lang = 'de' AND n
 
 
 @register(f"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[^:]*://[^/]*', ''), '[?#].*$', '') AS path FROM pages), q AS (SELECT *, string_split(trim(path, '/'), '/') AS s, len(s) AS n, s[1] AS lang FROM p)
- SELECT page_id, path, {_BEST} AS pattern, CASE {_BEST} WHEN '/de/{{rest...}}' THEN 4 WHEN '/en/{{id}}' THEN 5 WHEN '/fr/{{id}}/' THEN 5 END::INTEGER AS score FROM q""", graph=False)
+ SELECT page_id, path, coalesce({_BEST}, '') AS pattern, CASE {_BEST} WHEN '/de/{{rest...}}' THEN 4 WHEN '/en/{{id}}' THEN 5 WHEN '/fr/{{id}}/' THEN 5 ELSE 0 END::INTEGER AS score FROM q""", graph=False)
 def match_route(spark, d):
     """The best route pattern for the path of every page."""
     pages = read(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", r"^[^:]*://[^/]*", ""), r"[?#].*$", "").alias("path"))
     patterns = list(enumerate(("/{$}", "/en/{id}", "/{lang}/{id}", "/de/{rest...}", "/fr/{id}/")))
     scored = pages.select("page_id", "path", F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), X.match_score(F.lit(p), F.col("path")).alias("score"), F.lit(-i).alias("place")) for i, p in patterns])).alias("s"))
     best = scored.groupBy("page_id", "path").agg(F.max(F.when(F.col("s.score") > 0, F.struct("s.score", "s.place", "s.pattern"))).alias("b"))
-    return best.select("page_id", "path", F.col("b.pattern").alias("pattern"), F.col("b.score").alias("score"))
+    return best.select("page_id", "path", F.coalesce("b.pattern", F.lit("")).alias("pattern"), F.coalesce("b.score", F.lit(0)).alias("score"))

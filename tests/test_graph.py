@@ -85,10 +85,10 @@ def test_functions(spark):
     assert value(spark, X.plural(lit("city"))) == "cities" and value(spark, X.plural(lit("box"))) == "boxes"
     assert value(spark, X.snake_case(lit("UserID"))) == "user_id"
     assert value(spark, X.match_score(lit("/notes/{id}"), lit("/notes/7"))) == 5
-    assert value(spark, X.match_score(lit("/{a}/{b}"), lit("/x/y"))) is None
+    assert value(spark, X.match_score(lit("/{a}/{b}"), lit("/x/y"))) == 0
     assert value(spark, X.match_score(lit("/files/{rest...}"), lit("/files/a/b"))) == 4
     assert value(spark, X.concat_alternatives(F.array(lit("a"), lit("b")), F.array(lit("1")))) == ["a1", "b1"]
-    assert [tuple(u) for u in value(spark, X.fallback_tables(lit("DELETE FROM a WHERE x IN (SELECT y FROM b)")))] == [("delete", "a"), ("select", "b")]
+    assert [tuple(u) for u in value(spark, X.fallback_tables(lit("DELETE FROM a WHERE x IN (SELECT y FROM b)")))] == [("delete", "a"), ("delete", "b")]
 
 
 def test_search_and_resolve(spark):

