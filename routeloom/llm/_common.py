@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)  # paths of the innermost stage_alone
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation of it."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if (staged := _staged.get()) is not None:
+        staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Stages what make returns, then deletes the tables that make staged on the way: the result is read from its own."""
+    mark = _staged.set([])
+    try:
+        made = make()
+        spent = list(_staged.get())
+    finally:
+        _staged.reset(mark)
+    result = stage(made, label)
+    for path in spent:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return result
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions set for this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

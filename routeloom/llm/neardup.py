@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import stage, table
+from ._common import stage, stage_alone, table
 from ._graph import components
 
 VALUES, CHUNK = 32, 4
@@ -160,11 +160,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, key: str) -> DataFrame
     return rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("shingles", T.BinaryType())])).groupBy("id").agg(F.min("shingles").alias("shingles"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id, kept) for docs (key, text): links where 100 * |intersection| >= percent * |union|."""
-    rows = stage(sketches(docs, k, key), "sketches")
-    some = rows.filter(F.col("digest").isNotNull() & F.col(key).isNotNull())
-    reps = stage(some.groupBy("digest").agg(F.min(key).alias("rep"), F.min("n").alias("n"), F.min("signature").alias("signature")), "classes")
+def linked(docs: DataFrame, reps: DataFrame, k: int, percent: int, key: str) -> DataFrame:
+    """(node, label) of the representatives (rep, n, signature) that have links."""
     keys = index_keys(reps)
     first = lambda salt: F.min(F.struct(F.xxhash64("rep", F.lit(salt)), "rep"))["rep"]
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -177,16 +174,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     arms = members.select("rep", F.explode(F.array_distinct("pivots")).alias("pivot")).filter("rep <> pivot")
     pairs = arms.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     tested = stage(confirmed(pairs, sets), "tested")
-    linked = (100 * F.col("common") >= percent * F.col("n"))
-    links = tested.filter(linked).select("a", "b")
+    close = (100 * F.col("common") >= percent * F.col("n"))
+    links = tested.filter(close).select("a", "b")
     labels = components(links)
 
     more = open_pairs(members, labels, sets, percent)
     more = stage(more.join(tested, ["a", "b"], "left_anti"), "open-pairs")
     if not more.isEmpty():
-        links = links.union(stage(confirmed(more, sets).filter(linked).select("a", "b"), "more-links"))
+        links = links.union(stage(confirmed(more, sets).filter(close).select("a", "b"), "more-links"))
         labels = components(links)
+    return labels
+
 
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
+    """(key, n_shingles, component_id, kept) for docs (key, text): links where 100 * |intersection| >= percent * |union|."""
+    rows = stage(sketches(docs, k, key), "sketches")
+    some = rows.filter(F.col("digest").isNotNull() & F.col(key).isNotNull())
+    reps = stage(some.groupBy("digest").agg(F.min(key).alias("rep"), F.min("n").alias("n"), F.min("signature").alias("signature")), "classes")
+    labels = stage_alone(docs.sparkSession, lambda: linked(docs, reps, k, percent, key), "labels")
     found = reps.join(labels, reps.rep == labels.node, "left").select(F.col("digest").alias("_digest"), F.coalesce("label", "rep").alias("component_id"))
     linked_rows = some.join(found, some.digest == found._digest).select(key, F.col("n").alias("n_shingles"), "component_id")
     alone = rows.filter(F.col("digest").isNull() | F.col(key).isNull()).select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
