@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.llm import langid, mixing, neardup, packing, pii
-from routeloom.llm._common import stage, table
+from routeloom.llm._common import stage, stage_alone, table
 
 MIN_LANGUAGE_SCORE = 0.5
 
@@ -33,12 +33,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are linked by a key of their own, so repeated rows are one group and null ids, which come last, are linked too.
     """
     rows = keyed(docs)
-    found = stage(neardup.near_duplicates(rows.select("_row", "text"), 5, 80, "_row").select("_row", "component_id"), "groups")
-    grouped = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    found = found.join(grouped, "component_id", "left_semi")
-    ranked = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_rank")).join(found, "_row")
-    kept = ranked.groupBy("component_id").agg(F.min("_rank")["_row"].alias("_kept"))
-    dropped = stage(found.join(kept, "component_id").filter("_row <> _kept").select("_row"), "dropped")
+
+    def doomed() -> DataFrame:
+        found = stage(neardup.near_duplicates(rows.select("_row", "text"), 5, 80, "_row").select("_row", "component_id"), "groups")
+        grouped = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+        found = found.join(grouped, "component_id", "left_semi")
+        ranked = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_rank")).join(found, "_row")
+        kept = ranked.groupBy("component_id").agg(F.min("_rank")["_row"].alias("_kept"))
+        return found.join(kept, "component_id").filter("_row <> _kept").select("_row")
+
+    dropped = stage_alone(spark, doomed, "dropped")
     return rows.join(dropped, "_row", "left_anti").select(docs.columns)
 
 
@@ -55,8 +59,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a repeated id have shares of their own.
     """
     rows = keyed(docs)
-    shares = mixing.mix(rows.select("doc_id", "text", "source", "_row"), row="_row").filter("taken > 0")
-    rows = rows.join(stage(shares.select("_row", "first", "copies"), "shares"), "_row")
+    shares = lambda: mixing.mix(rows.select("doc_id", "text", "source", "_row"), row="_row").filter("taken > 0").select("_row", "first", "copies")
+    rows = rows.join(stage_alone(spark, shares, "shares"), "_row")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("copies"))))
     rows = rows.withColumn("text", mixing.taken_words(F.col("text"), F.col("first"), F.col("copies"), F.col("_copy")))
     return (rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows).select(docs.columns)
@@ -73,10 +77,9 @@ ORACLE_SQL = None  # the language and personal-data stages are models
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, with a written table between them."""
+    """Applies the stages to documents, with a written table between them; what a stage wrote on its way is deleted after it."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline-{name}")
+        made = lambda step=step, docs=docs: step(spark, docs, sf_dir)
+        docs = stage_alone(spark, made, f"pipeline-{name}") if i + 1 < len(STAGES) else made()
     return docs
