@@ -253,9 +253,10 @@ class Scorer:
             if len(new) > self.most:  # more different words than are remembered
                 out += [self._result(self._sum(words) if words else None) for words in split]
                 continue
-            at = len(self.known)
-            self.rows[at : at + len(new)] = self.words(list(new))
-            self.known.update(zip(new, range(at, at + len(new))))
+            if new:
+                at = len(self.known)
+                self.rows[at : at + len(new)] = self.words(list(new))
+                self.known.update(zip(new, range(at, at + len(new))))
             out += [self._result(self.rows[[self.known[w] for w in words]].sum(0) if words else None) for words in split]
         return out
 

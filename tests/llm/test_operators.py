@@ -324,6 +324,17 @@ def test_language_of_awkward_tables(spark):
     assert langid.fit(rows.limit(0).select("text", F.lit("x").alias("lang"), F.lit("0").alias("order"))) == {}
 
 
+def test_language_without_labels(spark, tmp_path):
+    """Where nothing is learned every text is und with score 0, in the operator, the query and the stage."""
+    rows = [(i, t, None, "a", 0) for i, t in enumerate(["one two", None, "", "das haus", "x " * 3000])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        path = str(tmp_path / str(docs.count()))
+        docs.write.parquet(f"{path}/documents.parquet")
+        got = langid.op10_langid(spark, path).collect()
+        assert len(got) == docs.count() and {(r.lang_pred, r.score) for r in got} <= {("und", 0.0)}
+
+
 def segmentations(model, text, tokens):
     """All labelled segmentations with their scores, by enumeration."""
     if not tokens:
