@@ -21,8 +21,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: no letters, or no language above MIN_LANGUAGE_SCORE."""
+    """Drops documents whose language can't be told: no letters, or no language above MIN_LANGUAGE_SCORE.
+
+    Null texts go. Where no document has a language nothing is learned, and all documents stay: none can be rejected.
+    """
     models = langid.fit(docs.select("text", "lang", langid.sample_order(F.col("doc_id")).alias("order")))
+    if not models:
+        return docs
     found = langid.identify(docs, models)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
@@ -47,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts; n_chars follows."""
+    """Masks personal data in the texts; n_chars follows. Null texts stay null, repeated rows are masked alike, other columns stay as they are."""
     found = pii.redact(docs, pii.fit(docs))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
@@ -56,18 +61,19 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the blocks of words that the mix takes: a row of docs gives at most three.
 
     They differ in text only: the n-th has the words of the row's blocks that are taken n times or more. Rows with a null or
-    a repeated id have shares of their own.
+    a repeated id have shares of their own. Null texts and texts without words give no row; an empty table gives none. Columns
+    of docs may have any name but _row, _copy, _first and _copies.
     """
     rows = keyed(docs)
-    shares = lambda: mixing.mix(rows.select("doc_id", "text", "source", "_row"), row="_row").filter("taken > 0").select("_row", "first", "copies")
+    shares = lambda: mixing.mix(rows.select("doc_id", "text", "source", "_row"), row="_row").filter("taken > 0").select("_row", F.col("first").alias("_first"), F.col("copies").alias("_copies"))
     rows = rows.join(stage_alone(spark, shares, "shares"), "_row")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("copies"))))
-    rows = rows.withColumn("text", mixing.taken_words(F.col("text"), F.col("first"), F.col("copies"), F.col("_copy")))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("_copies"))))
+    rows = rows.withColumn("text", mixing.taken_words(F.col("text"), F.col("_first"), F.col("_copies"), F.col("_copy")))
     return (rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all that is left into sequences."""
+    """Packs all that is left into sequences. A null text counts as empty, repeated rows are packed each, an empty table gives no piece."""
     return packing.pack(docs)
 
 
