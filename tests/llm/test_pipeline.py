@@ -126,3 +126,16 @@ def test_language_is_told_on_texts_not_learned_from(spark):
     models = langid.fit(docs.filter("doc_id < 60").withColumn("order", langid.sample_order(F.col("doc_id"))))
     held = langid.identify(docs.filter("doc_id >= 60"), models).collect()
     assert len(held) == 20 and all(x.lang_pred == rows[x.doc_id][2] for x in held)
+
+
+def test_stages_of_tables_without_labels_and_of_empty_ones(spark, tmp_path):
+    """Without labels no document is rejected for its language; columns called first and copies come through; empty tables give no rows."""
+    rows = [(i, f"word{i} and some other words of text {i}", None, "ab"[i % 2], 0, i, "c") for i in range(12)] + [(20, None, None, None, 0, 1, None), (21, "", None, "a", 0, 1, None)]
+    docs = spark.createDataFrame(rows, DOCS + ", first long, copies string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [*range(12), 20, 21]
+    mixed = corpus_pipeline.mixed(spark, docs, "")
+    assert mixed.columns == docs.columns and {r["first"] for r in mixed.collect()} <= set(range(12))
+    for name, some in (("some", docs), ("none", docs.limit(0))):
+        some.write.parquet(str(tmp_path / name / "documents.parquet"))
+        ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()}
+        assert ids <= set(range(12)) and bool(ids) == (name == "some")
