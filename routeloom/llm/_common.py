@@ -58,6 +58,11 @@ def stage_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str)
     return result
 
 
+def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A staged df, marked for sending to all executors if it has at most so many rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions set for this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_text, katz, langid, mixing, neardup, packing, pii, sharding, topk, url_filter, whitening
+from . import dualtree, fingerprint, html_text, katz, langid, mixing, neardup, packing, pii, sharding, topk, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
@@ -19,7 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
+    "op11_search": dualtree.op11_search,
     "op12_shard": sharding.op12_shard,
     "op13_whiten": whitening.op13_whiten,
 }
-SQL: dict[str, str] = {"op3_topk": topk.OP3_SQL, "op8_url_filter": url_filter.OP8_SQL}
+SQL: dict[str, str] = {"op3_topk": topk.OP3_SQL, "op8_url_filter": url_filter.OP8_SQL, "op11_search": dualtree.OP11_SQL}

@@ -27,13 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import stage, table
+from ._common import sized, stage, table
 
 LCG = 2862933555777941757  # fixed value: the multiplier of the published generator
 DIGITS = (24, 24, 16)
 _A = (LCG & 0xFFFFFF, LCG >> 24 & 0xFFFFFF, LCG >> 48)
 FIRST_DRAWS = 48
-SMALL = 100_000  # rows of range counts that are sent to all executors
 
 
 def key_digits(key: Column) -> list[Column]:
@@ -85,7 +84,7 @@ def deal(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "tex
     cells = placed.groupBy("shard", "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy("shard").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     cells = stage(cells.select("shard", "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")), "shard-cells")
-    rows = placed.join(F.broadcast(cells) if cells.count() <= SMALL else cells, ["shard", "_range"])
+    rows = placed.join(sized(cells), ["shard", "_range"])
     return rows.select(F.col(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_at") + F.col("_shift")).alias("slot"), "grown_shard")
 
 
