@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import search
 from .store import GraphError
 
 POSITION = ("file", "start_line", "start_col", "id")
@@ -152,28 +153,23 @@ def resolve_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolve(nodes: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
-    """(name, status, id, candidates) for names (name): a node's id, or that there is none or more than one.
+    """(name, status, id, candidates, more) for distinct names (name): a node's id, or that there is none or more than one.
 
-    First the exact id, then the id with a kind in front, in a fixed order. Else a search for names that hold the text in any
-    column: one hit is it; of several, the only one whose id ends with the text; else up to so many are named as candidates.
+    First the exact id, then the id with a kind in front, in a fixed order. Else the first most + 1 nodes of a search for the
+    text: one is it; of several, the only one whose id ends with the text; else the first most are named as candidates, and
+    more says that there are others.
     """
-    order = ("route", "method", "func", "interface_call", "type", "sql_table")
-    tried = names.select("name", F.posexplode(F.array(F.col("name"), *[F.concat(F.lit(k + ":"), F.col("name")) for k in order])).alias("rank", "id"))
-    exact = tried.join(nodes.select("id"), "id").groupBy("name").agg(F.min_by("id", "rank").alias("id"))
-    open_ = names.join(exact, "name", "left_anti").filter("trim(name) <> ''")
-    text = [F.lower(F.col(c)) for c in ("n.name", "n.package", "n.file", "n.detail", "n.id")]
-    terms = F.filter(F.split(F.lower(F.col("q.name")), r"\s+"), lambda t: t != "")
-    hits = open_.alias("q").join(nodes.alias("n"), F.forall(terms, lambda t: F.greatest(*[c.contains(t) for c in text])))
-    hits = hits.select(F.col("q.name").alias("name"), F.col("n.id").alias("id"), F.length("n.name").alias("size"))
-    ends = F.col("id").endswith(F.col("name"))
-    # a count and a few ids of each name, so that a text that is everywhere makes no long list
-    rank = F.row_number().over(W.partitionBy("name").orderBy("size", "id"))
-    some = hits.withColumn("at", rank).filter(F.col("at") <= most).groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]), ",").alias("candidates"))
-    found = hits.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(ends.cast("int")).alias("ends"), F.min("id").alias("only"), F.min(F.when(ends, F.col("id"))).alias("end"))
-    rows = names.join(exact, "name", "left").join(found, "name", "left").join(some, "name", "left")
-    one = F.coalesce("id", F.when(F.col("n") == 1, F.col("only")), F.when(F.col("ends") == 1, F.col("end")))
-    status = F.when(one.isNotNull(), "found").when(F.col("n") > 1, "ambiguous").otherwise("not found")
-    return rows.select("name", status.alias("status"), one.alias("id"), F.when(status == "ambiguous", F.col("candidates")).alias("candidates"))
+    exact = search.resolve(nodes, names).select("name", F.col("id").alias("exact"))
+    open_ = names.join(exact, "name", "left_anti").select(F.col("name").alias("query"), F.col("name").alias("text"))
+    found = search.search_all(search.build(nodes), open_, most + 1)
+    ends = F.col("id").endswith(F.col("query"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "id")))  # most + 1 at the longest
+    found = found.groupBy("query").agg(F.transform(listed, lambda x: x["id"]).alias("ids"), F.count_if(ends).alias("ends"), F.min(F.when(ends, F.col("id"))).alias("end"))
+    rows = names.join(exact, "name", "left").join(found, F.col("name") == F.col("query"), "left")
+    one = F.coalesce("exact", F.when(F.size("ids") == 1, F.col("ids")[0]), F.when(F.col("ends") == 1, F.col("end")))
+    status = F.when(one.isNotNull(), "found").when(F.size("ids") > 1, "ambiguous").otherwise("not found")
+    unclear = status == "ambiguous"
+    return rows.select("name", status.alias("status"), one.alias("id"), F.when(unclear, F.array_join(F.slice("ids", 1, most), ",")).alias("candidates"), F.when(unclear, F.size("ids") > most).alias("more"))
 
 
 def type_neighborhood(types: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:

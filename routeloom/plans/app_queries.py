@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import details, facts, statements, traverse
+from ..operators import details, facts, search, statements, traverse
 from ..sources import app_tables as A, migrations, schema, templates
 from ..sources.driver_tables import read
 from .queries import QUERIES, SQL
@@ -149,7 +149,7 @@ def routes_touching_table(spark, d):
 @register(" SELECT id FROM nodes WHERE kind IN ('type', 'sql_table') ORDER BY id LIMIT 500")
 def search_without_text(spark, d):
     """A search without text lists the nodes of its kinds by id, 500 at most."""
-    return _nodes(spark, d, "type", "sql_table").select("id").orderBy("id").limit(500)
+    return search.list_or_search(_nodes(spark, d), " ", ["type", "sql_table"], 1000).select("id")
 
 
 @register(" SELECT id, CASE WHEN access = 'public' AND flag = 'true' THEN 'optional' ELSE access END AS part FROM nodes WHERE kind = 'route' AND method = 'GET' AND contains(name, '/2') AND CASE WHEN access = 'public' AND flag = 'true' THEN 'optional' ELSE access END IN ('optional', 'admin')")
@@ -190,22 +190,26 @@ def path_edges(spark, d):
     return details.resolve_paths(paths, e)
 
 
-_RESOLVE = """, names AS (SELECT DISTINCT CASE o_orderkey % 5 WHEN 0 THEN o_orderkey::VARCHAR WHEN 1 THEN 's' || o_orderkey % 40 || '.c' WHEN 2 THEN 'app/nation' || o_custkey % 30 WHEN 3 THEN 'nothing' || o_orderkey ELSE 't' || o_orderkey % 200 || '.html' END AS name FROM orders WHERE o_custkey % 10 < 3),
+_REFERENCE = "CASE o_orderkey % 5 WHEN 0 THEN {n} WHEN 1 THEN concat('s', o_orderkey % 40, '.c') WHEN 2 THEN concat('app/nation', o_custkey % 30) WHEN 3 THEN concat('nothing', o_orderkey) ELSE concat('t', o_orderkey % 200, '.html') END".replace("{n}", "CAST(o_orderkey AS STRING)")
+_RESOLVE = """, names AS (SELECT DISTINCT """ + _REFERENCE.replace("AS STRING", "AS VARCHAR") + """ AS name FROM orders),
  x AS (SELECT names.name, nodes.id, rank FROM names, (SELECT unnest(['', 'route:', 'method:', 'func:', 'interface_call:', 'type:', 'sql_table:']) AS k, unnest(range(7)) AS rank) JOIN nodes ON nodes.id = k || names.name),
  e AS (SELECT names.name, min_by(x.id, x.rank) AS id FROM names JOIN x USING (name) GROUP BY names.name),
- h AS (SELECT q.name, n.id, length(n.name) AS size, ends_with(n.id, q.name) AS fin FROM names q JOIN nodes n ON contains(lower(n.name), lower(q.name)) OR contains(lower(n.package), lower(q.name)) OR contains(lower(n.file), lower(q.name)) OR contains(lower(n.detail), lower(q.name)) OR contains(lower(n.id), lower(q.name)) WHERE q.name NOT IN (SELECT name FROM e)),
- f AS (SELECT name, count(*) AS n, min(id) AS only1, count(*) FILTER (fin) AS ends, min(id) FILTER (fin) AS fin FROM h GROUP BY name), c AS (SELECT name, string_agg(id, ',' ORDER BY r) AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY size, id) AS r FROM h) WHERE r <= 10 GROUP BY name),
- o AS (SELECT names.name, coalesce(e.id, CASE WHEN n = 1 THEN only1 END, CASE WHEN ends = 1 THEN fin END) AS id, n, candidates FROM names LEFT JOIN e USING (name) LEFT JOIN f USING (name) LEFT JOIN c USING (name))
- SELECT name, CASE WHEN id IS NOT NULL THEN 'found' WHEN n > 1 THEN 'ambiguous' ELSE 'not found' END AS status, id, CASE WHEN id IS NULL AND n > 1 THEN candidates END AS candidates FROM o"""
+ d AS (SELECT id, name, [lower(name), lower(package), lower(file), lower(detail), lower(id)] AS low, greatest(length(name) - 2, 0) + greatest(length(package) - 2, 0) + greatest(length(file) - 2, 0) + greatest(length(detail) - 2, 0) + greatest(length(id) - 2, 0) AS size, lower(concat_ws(' ', name, package, file, detail, id)) AS plain FROM nodes),
+ g AS (SELECT count(*) AS total, sum(size) AS tokens FROM d),
+ q AS (SELECT name AS lt, length(name) >= 3 AS ranked FROM names WHERE name NOT IN (SELECT name FROM e)),
+ m AS (SELECT q.lt, q.ranked, d.* FROM q JOIN d ON contains(plain, lt)),
+ h AS (SELECT lt, ranked, id, name, size, CASE WHEN ranked THEN list_sum(list_transform([1, 2, 3, 4, 5], lambda i: [10, 2, 1, 1, 1][i] * len(list_filter(range(1, length(low[i]) - length(lt) + 2), lambda k: substring(low[i], k, length(lt)) = lt)))) ELSE 1 END::DOUBLE AS f FROM m),
+ n AS (SELECT lt, greatest(ln((total - count(*) + 0.5)::DOUBLE / (count(*) + 0.5)::DOUBLE), 0.000001) AS idf FROM h, g WHERE f > 0 GROUP BY lt, total),
+ r AS (SELECT lt AS name, h.id, row_number() OVER (PARTITION BY lt ORDER BY CASE WHEN ranked THEN round(idf * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / (tokens::DOUBLE / total)))), 9) ELSE 0 END DESC, length(h.name), h.id) AS rank FROM h JOIN n USING (lt), g WHERE f > 0),
+ f AS (SELECT name, count(*) AS n, min(id) AS only1, count(*) FILTER (ends_with(id, name)) AS ends, min(id) FILTER (ends_with(id, name)) AS fin, string_agg(id, ',' ORDER BY rank) FILTER (rank <= 10) AS candidates FROM r WHERE rank <= 11 GROUP BY name),
+ o AS (SELECT names.name, coalesce(e.id, CASE WHEN n = 1 THEN only1 END, CASE WHEN ends = 1 THEN fin END) AS id, n, candidates FROM names LEFT JOIN e USING (name) LEFT JOIN f USING (name))
+ SELECT name, CASE WHEN id IS NOT NULL THEN 'found' WHEN n > 1 THEN 'ambiguous' ELSE 'not found' END AS status, id, CASE WHEN id IS NULL AND n > 1 THEN candidates END AS candidates, CASE WHEN id IS NULL AND n > 1 THEN n > 10 END AS more FROM o"""
 
 
 @register(_RESOLVE)
 def resolve_references(spark, d):
-    """References as they are typed: an id, an end of one, a text that several nodes hold, or nothing."""
-    o, k = read(spark, d, "orders").filter("o_custkey % 10 < 3"), F.col("o_orderkey")
-    t = lambda c: c.cast("string")
-    name = F.when(k % 5 == 0, t(k)).when(k % 5 == 1, F.concat(F.lit("s"), t(k % 40), F.lit(".c"))).when(k % 5 == 2, F.concat(F.lit("app/nation"), t(F.col("o_custkey") % 30))).when(k % 5 == 3, F.concat(F.lit("nothing"), t(k))).otherwise(F.concat(F.lit("t"), t(k % 200), F.lit(".html")))
-    return details.resolve(_nodes(spark, d), o.select(name.alias("name")).distinct())
+    """References as they are typed, one for every order: an id, an end of one, a text that several nodes hold, or nothing."""
+    return details.resolve(_nodes(spark, d), read(spark, d, "orders").select(F.expr(_REFERENCE).alias("name")).distinct())
 
 
 _TYPES = """, u AS (SELECT src AS id, dst AS to_, row_number() OVER (PARTITION BY src ORDER BY file, start_line, start_col, id) AS turn FROM edges WHERE kind = 'uses_type'),

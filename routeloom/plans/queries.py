@@ -203,15 +203,35 @@ def fk_neighborhood(spark, d):
     return traverse.closure(seeds, both, max_depth=1).select("root", "node", "depth")
 
 
-@register("""SELECT id, kind, name, (contains(lower(name), 'an')::INT * 10 + contains(lower(detail), 'an')::INT + contains(lower(package), 'an')::INT * 2 + contains(lower(id), 'an')::INT
- + contains(lower(name), 'e')::INT * 10 + contains(lower(detail), 'e')::INT + contains(lower(package), 'e')::INT * 2 + contains(lower(id), 'e')::INT)::INTEGER AS score FROM nodes
- WHERE kind IN ('sql_table', 'func') AND (contains(lower(name), 'an') OR contains(lower(detail), 'an') OR contains(lower(package), 'an') OR contains(lower(id), 'an')) AND (contains(lower(name), 'e') OR contains(lower(detail), 'e') OR contains(lower(package), 'e') OR contains(lower(id), 'e'))
- ORDER BY score DESC, length(name), id LIMIT 50""")
+_TEXT = "lower(concat_ws(' ', name, package, '', detail, id))"
+
+
+@register(f"SELECT id, kind, name, 0.0::DOUBLE AS score FROM nodes WHERE kind IN ('sql_table', 'func') AND contains({_TEXT}, 'an') AND contains({_TEXT}, 'e') ORDER BY length(name), id LIMIT 50")
 def search_ranked(spark, d):
-    """The 50 best nodes for two terms."""
+    """The first 50 nodes for two short terms, shorter names first."""
     return S.search(D.nodes(spark, d), "an e", ["sql_table", "func"])
 
 
+_ASKED = "CASE s_suppkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'mer#00000' || s_suppkey WHEN 2 THEN substring(p_name, 1, 3) || '  SQL_table:' || s_suppkey % 10 ELSE 'Order' || s_suppkey || ' method' END"
+
+
+@register(f""", q AS (SELECT s_suppkey AS query, {_ASKED} AS text, s_suppkey % 3 = 0 AS narrow FROM supplier JOIN part ON p_partkey = s_suppkey),
+ t AS (SELECT query, narrow, unnest(parts) AS term, len(parts) AS wanted FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS parts FROM q)),
+ d AS (SELECT id, kind, name, [lower(name), lower(package), '', lower(detail), lower(id)] AS low, greatest(length(name) - 2, 0) + greatest(length(package) - 2, 0) + greatest(length(detail) - 2, 0) + greatest(length(id) - 2, 0) AS size FROM nodes),
+ g AS (SELECT count(*) AS total, sum(size) AS tokens FROM d), x AS (SELECT DISTINCT term, lower(term) AS lt FROM t),
+ m AS (SELECT term, lt, d.* FROM x JOIN d ON contains(low[1], lt) OR contains(low[2], lt) OR contains(low[4], lt) OR contains(low[5], lt)),
+ h AS (SELECT term, id, kind, name, size, list_sum(list_transform([1, 2, 3, 4, 5], lambda i: [10, 2, 1, 1, 1][i] * len(list_filter(range(1, length(low[i]) - length(lt) + 2), lambda k: substring(low[i], k, length(lt)) = lt))))::DOUBLE AS f FROM m),
+ n AS (SELECT term, greatest(ln((total - count(*) + 0.5)::DOUBLE / (count(*) + 0.5)::DOUBLE), 0.000001) AS idf FROM h, g GROUP BY term, total),
+ r AS (SELECT query, h.id, h.kind, h.name, count(*) AS got, any_value(wanted) AS wanted, round(sum(idf * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / (tokens::DOUBLE / total))))), 9) AS score
+  FROM t JOIN h USING (term) JOIN n USING (term), g WHERE NOT narrow OR h.kind IN ('sql_table', 'func') GROUP BY query, h.id, h.kind, h.name)
+ SELECT query, rank, id, kind, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, length(name), id)::INTEGER AS rank FROM r WHERE got = wanted) WHERE rank <= 50""")
+def search_bm25(spark, d):
+    """The 50 best nodes for a text of every supplier, some of them for two kinds alone."""
+    asked = read(spark, d, "supplier").join(read(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey"))
+    kinds = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("sql_table"), F.lit("func")))
+    return S.search_all(S.build(D.nodes(spark, d)), asked.select(F.col("s_suppkey").alias("query"), F.expr(_ASKED).alias("text"), kinds.alias("kinds")))
+
+
 @register("SELECT e.src, e.dst, m.method, (e.methods = '' OR m.method = 'ANY' OR e.methods = m.method OR (e.methods = '*' AND m.method <> 'GET')) AS runs FROM edges e, (VALUES ('GET'), ('POST'), ('ANY')) m(method) WHERE e.kind = 'calls' AND e.src LIKE 'func:%'")
 def runs_predicate(spark, d):
     """Whether each call happens under each method."""
