@@ -82,13 +82,35 @@ def chain_uses(chains: DataFrame) -> DataFrame:
 
 def linked(sinks: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, inferred) and edges (src, dst, op, columns) that the statements of sinks (id, sql) add to a graph with tables (table)."""
-    found = statements.analyse(sinks)
-    uses = found.select("id", F.explode(F.regexp_extract_all("tables", F.lit(r"([^ ]+:[a-z]+\[[^\]]*\])"), F.lit(1))).alias("use"))
-    part = lambda i: F.regexp_extract("use", r"^(.*):([a-z]+)\[([^\]]*)\]$", i)
-    uses = uses.select("id", part(1).alias("table"), part(2).alias("op"), F.replace(part(3), F.lit(" "), F.lit(",")).alias("columns"))
+    uses = statements.uses(sinks)[2]
     used = uses.select("table").distinct().join(tables.select("table", F.lit(True).alias("known")).distinct(), "table", "left")
     nodes = used.select(X.table_id(F.col("table")).alias("id"), F.col("known").isNull().alias("inferred"))
-    return nodes, uses.select(F.col("id").alias("src"), X.table_id(F.col("table")).alias("dst"), "op", "columns")
+    return nodes, uses.select(F.col("id").alias("src"), X.table_id(F.col("table")).alias("dst"), "op", F.array_join("columns", ",").alias("columns"))
+
+
+REBOUND = "java.sql."  # fixed value: calls whose statements take question marks
+
+
+def linked_graph(sinks: DataFrame, columns: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, detail, inferred, op, partial, broken) and edges (src, dst, kind, op, columns) of a schema and the statements linked to it.
+
+    sinks (id, sql, callee, partial) hold the statements' texts; a sink that was partial stays so, and one without a text is
+    not read. columns and references are those of schema_graph. A table that only a statement names is an inferred node.
+    """
+    sql = F.when(F.coalesce(F.col("callee"), F.lit("")).startswith(REBOUND), X.positional(F.col("sql"))).otherwise(F.col("sql"))
+    marks, ops, uses = statements.uses(sinks.filter("sql <> ''").select("id", sql.alias("sql")))
+    nodes, edges = schema_graph(columns, references)
+    no, empty = F.lit(False), F.lit("")
+    marked = lambda df, inferred: df.select("id", "kind", "detail", F.lit(inferred).alias("inferred"), empty.alias("op"), no.alias("partial"), no.alias("broken"))
+    used = uses.select("table").distinct().join(columns.select("table").distinct(), "table", "left_anti")
+    used = used.select(X.table_id(F.col("table")).alias("id"), F.lit("sql_table").alias("kind"), empty.alias("detail"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "op"))), lambda x: x["op"]), ",")
+    read = marks.withColumnRenamed("partial", "_partial").join(ops.groupBy("id").agg(listed.alias("op")), "id", "left")
+    read = sinks.select("id", "partial").join(read, "id", "left")
+    first = F.coalesce("op", F.when(F.col("broken"), X.first_op(F.col("sql"))), empty)
+    read = read.select(F.concat(F.lit("sink.sql:"), F.col("id").cast("string")).alias("id"), F.lit("sink.sql").alias("kind"), empty.alias("detail"), no.alias("inferred"), first.alias("op"), (F.coalesce("partial", no) | F.coalesce("_partial", no)).alias("partial"), F.coalesce("broken", no).alias("broken"))
+    queries = uses.select(F.concat(F.lit("sink.sql:"), F.col("id").cast("string")).alias("src"), X.table_id(F.col("table")).alias("dst"), F.lit("queries").alias("kind"), "op", F.array_join("columns", ",").alias("columns"))
+    return marked(nodes, False).union(marked(used, True)).union(read), edges.select("src", "dst", "kind", empty.alias("op"), empty.alias("columns")).union(queries)
 
 
 def schema_graph(columns: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:

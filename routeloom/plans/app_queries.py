@@ -343,42 +343,85 @@ def orm_chains(spark, d):
 
 
 def _statements(spark, d):
-    """A statement for each order line, in six forms."""
+    """A statement for each order line, in ten forms."""
     li = read(spark, d, "lineitem")
-    form, p, s = (F.col("l_orderkey") + F.col("l_linenumber")) % 6, F.concat(F.lit("part_"), (F.col("l_partkey") % 50).cast("string")), F.concat(F.lit("supp_"), F.col("l_suppkey").cast("string"))
+    form, p, s = (F.col("l_orderkey") + F.col("l_linenumber")) % 10, F.concat(F.lit("part_"), (F.col("l_partkey") % 50).cast("string")), F.concat(F.lit("supp_"), F.col("l_suppkey").cast("string"))
     c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
-    sql = F.when(form == 0, c("SELECT p.id, s.name FROM ", p, " p JOIN ", s, " AS s ON s.id = p.supp WHERE p.size > $1 -- from none"))
-    sql = sql.when(form == 1, c("WITH old AS (DELETE FROM ", p, " WHERE size < 5 RETURNING id) INSERT INTO ", s, " (id, at) SELECT id, now() FROM old"))
-    sql = sql.when(form == 2, c("BEGIN; UPDATE ", p, " SET size = size + 1, note = 'a;b' WHERE id = ${?}; COMMIT"))
-    sql = sql.when(form == 3, c('SELECT * FROM "Log" WHERE ', p, " IN ({?})")).when(form == 4, c("DELETE FROM ", p, " WHERE")).otherwise(c("CREATE TABLE IF NOT EXISTS ", p, " (id int8)"))
-    return li.select((((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("id"), sql.alias("sql")).dropDuplicates(["id"])
-
-
-_STATEMENTS = """WITH l AS (SELECT DISTINCT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, (l_orderkey + l_linenumber) % 6 AS form, 'part_' || l_partkey % 50 AS p, 'supp_' || l_suppkey AS s FROM lineitem)
- SELECT id, CASE form WHEN 0 THEN 'select' WHEN 1 THEN 'insert' WHEN 2 THEN 'other update other' WHEN 3 THEN 'select' WHEN 4 THEN 'delete' ELSE 'ddl' END AS ops,
- CASE form WHEN 0 THEN p || ':select[id supp size] ' || s || ':select[name id]' WHEN 1 THEN p || ':delete[] ' || s || ':insert[id at]' WHEN 2 THEN p || ':update[size note id]' WHEN 3 THEN 'Log:select[* ' || p || ']' WHEN 4 THEN p || ':delete[]' ELSE p || ':ddl[]' END AS tables,
- form IN (2, 3, 4) AS partial, form = 4 AS broken FROM l"""
-
-
-@register(_STATEMENTS, graph=False)
+    forms = [
+        c("SELECT p.id, s.name FROM ", p, " p JOIN ", s, " AS s ON s.id = p.supp WHERE p.size > $1 -- from none"),
+        c("WITH old AS (DELETE FROM ", p, " WHERE size < 5 RETURNING id) INSERT INTO ", s, " (id, at) SELECT id, now() FROM old"),
+        c("BEGIN; UPDATE ", p, " SET size = size + 1, note = 'a;b' WHERE id = ${?}; COMMIT"),
+        c('SELECT * FROM "Log" WHERE ', p, " IN ({?})"),
+        c("DELETE FROM ", p, " WHERE"),
+        c("CREATE TABLE IF NOT EXISTS ", p, " (id int8)"),
+        c("SELECT extract(year FROM p.made) y FROM ", p, " p WHERE p.a IS DISTINCT FROM p.b"),
+        c("SELECT q.n FROM (SELECT x.size AS n FROM ", p, " x WHERE EXISTS (SELECT 1 FROM ", s, " x WHERE x.id = 1)) q"),
+        c('UPDATE "Big ', p, '" SET note = $$from z; x$$, size = (SELECT max(id) FROM ', s, ")"),
+        c("INSERT INTO ", s, " (id) VALUES (1) ON CONFLICT (id) DO UPDATE SET id = excluded.id RETURNING at"),
+    ]
+    return li.select((((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("id"), F.element_at(F.array(*forms), (form + 1).cast("int")).alias("sql")).dropDuplicates(["id"])
+
+
+_FORMS = """l AS (SELECT DISTINCT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, (l_orderkey + l_linenumber) % 10 AS form, 'part_' || l_partkey % 50 AS p, 'supp_' || l_suppkey AS s FROM lineitem),
+ f AS (SELECT *, CASE form WHEN 0 THEN [[p, 'select', 'id supp size'], [s, 'select', 'name id']] WHEN 1 THEN [[p, 'delete', ''], [s, 'insert', 'id at']] WHEN 2 THEN [[p, 'update', 'size note id']] WHEN 3 THEN [['Log', 'select', '* ' || p]] WHEN 4 THEN [[p, 'delete', '']]
+  WHEN 5 THEN [[p, 'ddl', '']] WHEN 6 THEN [[p, 'select', 'made a b']] WHEN 7 THEN [[p, 'select', 'size'], [s, 'select', 'id']] WHEN 8 THEN [['Big ' || p, 'update', 'note size'], [s, 'select', '']] ELSE [[s, 'insert', 'id at']] END AS uses FROM l),
+ u AS (SELECT id, k, uses[k][1] AS t, uses[k][2] AS op, uses[k][3] AS cols FROM (SELECT id, uses, unnest(range(1, len(uses) + 1)) AS k FROM f))"""
+
+
+@register(f"""WITH {_FORMS}, t AS (SELECT id, string_agg(t || ':' || op || '[' || cols || ']', ' ' ORDER BY k) AS tables FROM u GROUP BY id)
+ SELECT id, CASE form WHEN 1 THEN 'insert' WHEN 2 THEN 'other update other' WHEN 4 THEN 'delete' WHEN 5 THEN 'ddl' WHEN 8 THEN 'update' WHEN 9 THEN 'insert' ELSE 'select' END AS ops, tables, form IN (2, 3, 4) AS partial, form = 4 AS broken FROM f JOIN t USING (id)""", graph=False)
 def sql_query_analysis(spark, d):
     """Ops, tables and columns of statements made from order lines."""
     return statements.analyse(_statements(spark, d))
 
 
-@register(f"WITH a AS ({_STATEMENTS}), u AS (SELECT DISTINCT string_split(unnest(string_split_regex(tables, '\\] ?')), ':')[1] AS t FROM a) SELECT 'sql_table:' || t AS id, NOT (starts_with(t, 'part_') AND t NOT IN ('part_7', 'part_8')) AS inferred FROM u WHERE t <> ''", graph=False)
+@register(f"WITH {_FORMS} SELECT DISTINCT 'sql_table:' || t AS id, NOT (starts_with(t, 'part_') AND t NOT IN ('part_7', 'part_8')) AS inferred FROM u", graph=False)
 def linked_tables(spark, d):
     """Tables that linked statements add, with whether the schema has them."""
     tables = read(spark, d, "part").select(F.concat(F.lit("part_"), (F.col("p_partkey") % 50).cast("string")).alias("table")).filter("table NOT IN ('part_7', 'part_8')")
     return facts.linked(_statements(spark, d), tables)[0]
 
 
-@register(f"WITH a AS ({_STATEMENTS}), u AS (SELECT id, unnest(regexp_extract_all(tables, '[^ ]+:[a-z]+\\[[^\\]]*\\]')) AS t FROM a) SELECT id AS src, 'sql_table:' || regexp_extract(t, '^(.*):', 1) AS dst, regexp_extract(t, ':([a-z]+)', 1) AS op, replace(regexp_extract(t, '\\[(.*)\\]', 1), ' ', ',') AS columns FROM u", graph=False)
+@register(f"WITH {_FORMS} SELECT id AS src, 'sql_table:' || t AS dst, op, replace(cols, ' ', ',') AS columns FROM u", graph=False)
 def linked_edges(spark, d):
     """Edges from linked statements to the tables they use."""
     return facts.linked(_statements(spark, d), read(spark, d, "part").select(F.lit("x").alias("table")))[1]
 
 
+def _linked(spark, d):
+    """Statements of order lines, every third by a call that takes question marks, linked with a schema of parts 0 to 29 and their references."""
+    k = F.col("id")
+    marks = (k % 3 == 0) & ~F.col("sql").contains("{?}")
+    sinks = _statements(spark, d).select("id", F.when(marks, F.replace("sql", F.lit("$1"), F.lit("?"))).otherwise(F.col("sql")).alias("sql"), F.when(marks, "java.sql.Connection.prepare").otherwise("db.query").alias("callee"), (k % 7 == 0).alias("partial"))
+    p = read(spark, d, "part").select((F.col("p_partkey") % 30).alias("k")).distinct()
+    name = lambda c: F.concat(F.lit("part_"), c.cast("string"))
+    columns = p.select(name(F.col("k")).alias("table"), F.posexplode(F.array(F.lit("id"), F.lit("size"))).alias("at", "column"))
+    columns = columns.select("table", "at", "column", F.when(F.col("at") == 0, "int8").otherwise("text").alias("type"), (F.col("at") == 0).alias("primary"))
+    references = p.filter("k > 0").select(name(F.col("k")).alias("table"), F.lit(0).alias("at"), F.array(F.lit("size")).alias("columns"), name(F.col("k") - 1).alias("parent"))
+    return facts.linked_graph(sinks, columns, references)
+
+
+_SCHEMA = "s AS (SELECT DISTINCT p_partkey % 30 AS k FROM part)"
+
+
+@register(f"""WITH {_FORMS}, {_SCHEMA}, o AS (SELECT id, form, id % 7 = 0 OR form IN (2, 3, 4) AS partial FROM l)
+ SELECT 'sql_table:part_' || k AS id, 'sql_table' AS kind, 'id int8, size text' AS detail, false AS inferred, '' AS op, false AS partial, false AS broken FROM s
+ UNION ALL SELECT 'sql_column:part_' || k || '.' || c, 'sql_column', CASE c WHEN 'id' THEN 'int8' ELSE 'text' END, false, '', false, false FROM s, (SELECT unnest(['id', 'size']) AS c)
+ UNION ALL SELECT DISTINCT 'sql_table:' || t, 'sql_table', '', true, '', false, false FROM u WHERE t NOT IN (SELECT 'part_' || k FROM s)
+ UNION ALL SELECT 'sink.sql:' || id, 'sink.sql', '', false, CASE form WHEN 1 THEN 'insert' WHEN 2 THEN 'other,update,other' WHEN 4 THEN 'delete' WHEN 5 THEN 'ddl' WHEN 8 THEN 'update' WHEN 9 THEN 'insert' ELSE 'select' END, partial, form = 4 FROM o""", graph=False)
+def linked_graph_nodes(spark, d):
+    """Nodes of a graph that statements were linked into: tables and columns of the schema, inferred tables, and the statements' marks."""
+    return _linked(spark, d)[0]
+
+
+@register(f"""WITH {_FORMS}, {_SCHEMA} SELECT 'sql_table:part_' || k AS src, 'sql_column:part_' || k || '.' || c AS dst, 'has_column' AS kind, '' AS op, '' AS columns FROM s, (SELECT unnest(['id', 'size']) AS c)
+ UNION ALL SELECT 'sql_table:part_' || k, 'sql_table:part_' || (k - 1), 'fk', '', '' FROM s WHERE k > 0 AND k - 1 IN (SELECT k FROM s)
+ UNION ALL SELECT 'sink.sql:' || id, 'sql_table:' || t, 'queries', op, replace(cols, ' ', ',') FROM u""", graph=False)
+def linked_graph_edges(spark, d):
+    """Edges of that graph: columns and references of the schema, and what each statement queries."""
+    return _linked(spark, d)[1]
+
+
 def _columns(spark, d):
     o = read(spark, d, "orders")
     return o.select(F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("table"), F.col("o_orderkey").alias("at"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("column"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("type"), (F.col("o_orderkey") % 3 == 0).alias("primary"))
