@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import flow, search as S, store, traverse
+from ..operators import flow, memo, search as S, store, traverse
 from ..sources import driver_tables as D
 from ..sources.driver_tables import read
-from ..streaming import changes
+from ..streaming import changes, watch
 from .staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,41 @@ def flow_reach(spark, d):
     return _with_sinks(_reach(spark, d, e), e).groupBy(F.col("root").alias("route"), F.substring_index("node", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(f"""WITH RECURSIVE e AS (SELECT 'route:' || c_custkey AS src, 'func:' || c_custkey AS dst FROM customer
+  UNION SELECT 'func:' || a.c_custkey, 'func:' || b.c_custkey FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey - a.c_custkey % 5 + (a.c_custkey + 1) % 5 WHERE a.c_custkey % 7 <> 0
+  UNION SELECT 'func:' || o_custkey, 'method:' || o_orderkey FROM orders WHERE CASE o_orderkey % 4 WHEN 0 THEN o_orderstatus <> 'F' ELSE o_orderkey % 3 <> 1 OR o_orderkey % 4 = 1 END),
+ r AS (SELECT src AS root, src AS node FROM e WHERE src LIKE 'route:%' UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node)
+ SELECT root AS route, 'sql_table:' || l_partkey AS tbl, l_returnflag AS op FROM r JOIN lineitem ON node = 'method:' || l_orderkey GROUP BY ALL""", graph=False)
+def memo_table_routes(spark, d):
+    """Routes of every table after two generations of changes: calls of finished orders go, others come, and rings of functions open."""
+    c, o, li = (read(spark, d, t) for t in ("customer", "orders", "lineitem"))
+    text = lambda prefix, x: F.concat(F.lit(prefix + ":"), x.cast("string"))
+    k, key = F.col("c_custkey"), F.col("o_orderkey")
+    routes = c.select(text("route", k).alias("src"), text("func", k).alias("dst"))
+    ring = c.select(k.alias("a"), (k - k % 5 + (k + 1) % 5).alias("b")).join(c.select(k.alias("b")), "b")
+    rings = lambda rows: rows.select(text("func", F.col("a")).alias("src"), text("func", F.col("b")).alias("dst"))
+    calls = lambda rows: rows.select(text("func", F.col("o_custkey")).alias("src"), text("method", key).alias("dst"))
+    state = memo.start(routes.select(F.col("src").alias("root")), routes.union(rings(ring)).union(calls(o.filter("o_orderkey % 4 <> 1"))))
+    state = memo.advance(state, calls(o.filter("o_orderkey % 4 = 0 AND o_orderstatus = 'F' OR o_orderkey % 4 IN (2, 3) AND o_orderkey % 3 = 1")), calls(o.filter("o_orderkey % 4 = 1")))
+    state = memo.advance(state, rings(ring.filter("a % 7 = 0")), calls(o.filter("o_orderkey % 4 = 1")))
+    return memo.table_routes(state, li.select(text("method", F.col("l_orderkey")).alias("node"), text("sql_table", F.col("l_partkey")).alias("tbl"), F.col("l_returnflag").alias("op")).distinct())
+
+
+_FILE = "CASE event_type WHEN 'error' THEN concat('node_modules/', user_id, '/e.go') WHEN 'signup' THEN concat('src/', user_id, '/signup.go') WHEN 'purchase' THEN concat('src/', user_id, '/buy.txt') WHEN 'click' THEN concat('db/', user_id, '.sql') ELSE concat('m', user_id, '/go.mod') END"
+
+
+@register(f"""WITH l AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) + 1 AS scan, {_FILE} AS path, count(*) AS size, epoch_us(max(ts)) AS modified FROM events WHERE event_type NOT IN ('error', 'purchase') GROUP BY ALL),
+ w AS (SELECT *, lag(scan) OVER p AS seen, lead(scan) OVER p AS following, lag(size) OVER p AS size0, lag(modified) OVER p AS modified0 FROM l WINDOW p AS (PARTITION BY path ORDER BY scan)), z AS (SELECT max(scan) AS last FROM l)
+ SELECT path, scan, CASE WHEN seen = scan - 1 THEN 'changed' ELSE 'added' END AS change FROM w WHERE scan > 1 AND (seen IS DISTINCT FROM scan - 1 OR size <> size0 OR modified <> modified0)
+ UNION ALL SELECT path, scan + 1, 'removed' FROM w, z WHERE scan < last AND following IS DISTINCT FROM scan + 1""", graph=False)
+def file_changes(spark, d):
+    """What changes from day to day among files derived from events, of those that matter to an analysis."""
+    e = read(spark, d, "events").withColumn("path", F.expr(_FILE)).withColumn("ts", F.col("ts").cast("timestamp"))
+    scan = F.datediff("ts", F.lit("2024-01-01").cast("date")).cast("long") + 1
+    files = e.filter(watch.relevant(F.col("path"))).groupBy(scan.alias("scan"), "path").agg(F.count(F.lit(1)).alias("size"), F.max("ts").alias("modified"))
+    return watch.changes_of_scans(files.withColumn("ts", F.col("modified")))
+
+
 def _tree_edges(spark, d):
     """(root, src, dst, kind, op) that a flow of each route may take under its method."""
     e = staged(_flow_edges(spark, d), "flow-edges")
