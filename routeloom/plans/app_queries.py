@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import details, facts, search, statements, traverse
+from ..operators import blocks, details, facts, mounts, search, statements, traverse, values
 from ..sources import app_tables as A, migrations, schema, templates
 from ..sources.driver_tables import read
 from .queries import QUERIES, SQL
@@ -586,3 +586,78 @@ def page_references(spark, d):
     """URLs in the markup of every page with their methods."""
     rows = templates.references(read(spark, d, "pages").select(F.col("page_id").alias("id"), "html"))
     return rows.groupBy("id", "element", "attribute", "url", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("""SELECT o_orderkey AS id, CASE o_orderkey % 6
+ WHEN 0 THEN 'GET /en/' || o_custkey || ' GET /de/' || o_custkey WHEN 1 THEN 'a{?} a' WHEN 2 THEN '/api//x /api/' || o_custkey || '/x' WHEN 3 THEN '{?}' WHEN 4 THEN 'n' || o_custkey ELSE '{?}' END AS texts FROM orders""", graph=False)
+def folded_values(spark, d):
+    """Texts of a value for every order: a loop over languages, a circle, joined paths, an unknown, a result without its empty text, too many."""
+    o = read(spark, d, "orders")
+    k, c, form = F.col("o_orderkey") * 64, F.col("o_custkey").cast("string"), F.col("o_orderkey") % 6
+    value = lambda i, op, text="": F.struct((k + i).alias("id"), F.lit(op).alias("op"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+    use = lambda i, at, arg: F.struct((k + i).alias("id"), F.lit(at).alias("at"), (k + arg).alias("arg"))
+    made = F.when(form == 0, F.array(value(0, "concat"), value(1, "concat"), value(2, "any"), value(3, "const", "GET "), value(4, "const", "/en/"), value(5, "const", "/de/"), value(6, "same"), value(7, "const", c)))
+    made = made.when(form == 1, F.array(value(0, "any"), value(1, "concat"), value(2, "const", "a"), value(3, "same")))
+    made = made.when(form == 2, F.array(value(0, "path"), value(1, "const", "/api"), value(2, "any"), value(3, "const", ""), value(4, "const", c), value(5, "const", "x")))
+    made = made.when(form == 3, F.array(value(0, "any"), value(1, "call")))
+    made = made.when(form == 4, F.array(value(0, "result"), value(1, "const", ""), value(2, "const", F.concat(F.lit("n"), c))))
+    made = made.otherwise(F.array(value(0, "any"), *[value(i, "const", str(i)) for i in range(1, 34)]))
+    used = F.when(form == 0, F.array(use(0, 0, 1), use(0, 1, 6), use(1, 0, 3), use(1, 1, 2), use(2, 0, 4), use(2, 1, 5), use(6, 0, 7)))
+    used = used.when(form == 1, F.array(use(0, 0, 1), use(0, 1, 2), use(1, 0, 2), use(1, 1, 3), use(3, 0, 0)))
+    used = used.when(form == 2, F.array(use(0, 0, 1), use(0, 1, 2), use(0, 2, 5), use(2, 0, 3), use(2, 1, 4)))
+    used = used.when(form == 3, F.array(use(0, 0, 1))).when(form == 4, F.array(use(0, 0, 1), use(0, 1, 2))).otherwise(F.array(*[use(0, i, i) for i in range(1, 34)]))
+    found = values.fold(o.select(F.inline(made)), o.select(F.inline(used)), o.select(k.alias("id")))
+    return found.select((F.col("id") / 64).cast("long").alias("id"), F.array_join("texts", " ").alias("texts"))
+
+
+_MOUNTS = """m AS (SELECT c_custkey AS router, CASE WHEN c_custkey % 40 > 0 THEN c_custkey - CASE WHEN c_custkey % 3 = 0 AND c_custkey % 40 > 1 THEN 2 ELSE 1 END END AS parent, floor(c_custkey / 40)::BIGINT % 4 AS f,
+  CASE c_custkey % 5 WHEN 0 THEN '/' WHEN 1 THEN '/a' || c_custkey WHEN 2 THEN '/b/' WHEN 3 THEN 'c' ELSE '' END AS pattern FROM customer)"""
+_JOINED = "CASE f WHEN 0 THEN CASE WHEN {x} = '/' AND {p} <> '' THEN {p} ELSE regexp_replace({p}, '/$', '') || {x} END WHEN 1 THEN CASE WHEN {x} = '' THEN CASE WHEN {p} = '' THEN '/' ELSE {p} END ELSE regexp_replace({p}, '/$', '') || '/' || regexp_replace({x}, '^/', '') END ELSE {p} || {x} END"
+
+
+@register(f"""WITH RECURSIVE {_MOUNTS}, w AS (SELECT router, f, '' AS prefix FROM m WHERE parent IS NULL UNION ALL SELECT m.router, m.f, {_JOINED.replace('{x}', 'm.pattern').replace('{p}', 'w.prefix').replace('CASE f', 'CASE m.f')} FROM w JOIN m ON m.parent = w.router),
+ r AS (SELECT o_orderkey AS id, o_custkey AS router, CASE o_orderkey % 3 WHEN 0 THEN '/' WHEN 1 THEN '' ELSE '/x' || o_orderkey END AS pattern FROM orders)
+ SELECT id, {_JOINED.replace('{x}', 'pattern').replace('{p}', 'prefix')} AS path FROM r JOIN w USING (router)""", graph=False)
+def mounted_routes(spark, d):
+    """Paths of a route for every order, on routers that are mounted below one another in chains of up to forty, by four rules."""
+    k = F.col("c_custkey")
+    above = F.when(k % 40 > 0, k - F.when((k % 3 == 0) & (k % 40 > 1), 2).otherwise(1))
+    framework = F.element_at(F.array(*map(F.lit, ("chi", "gin", "echo", "gorilla"))), (F.floor(k / 40) % 4 + 1).cast("int"))
+    pattern = F.when(k % 5 == 0, "/").when(k % 5 == 1, F.concat(F.lit("/a"), k.cast("string"))).when(k % 5 == 2, "/b/").when(k % 5 == 3, "c").otherwise("")
+    tree = read(spark, d, "customer").select(k.alias("router"), above.alias("parent"), framework.alias("framework"), F.when(above.isNotNull(), pattern).alias("pattern"))
+    o = F.col("o_orderkey")
+    routes = read(spark, d, "orders").select(o.alias("id"), F.col("o_custkey").alias("router"), F.when(o % 3 == 0, "/").when(o % 3 == 1, "").otherwise(F.concat(F.lit("/x"), o.cast("string"))).alias("pattern"))
+    return mounts.mounted(routes, tree).select("id", "path")
+
+
+_BLOCKS = """b AS (SELECT l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS block, count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey, l_suppkey, l_returnflag FROM lineitem),
+ e AS (SELECT fn, block AS src, 0 AS at, block + 1 AS dst FROM b WHERE block + 1 < n UNION ALL SELECT fn, block, 1, (l_partkey + l_suppkey) % n FROM b WHERE l_returnflag <> 'N' AND block + 1 < n),
+ t AS (SELECT fn, block, CASE l_partkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, l_suppkey % 2 = 0 AS equal FROM b WHERE l_returnflag = 'A' AND block + 1 < n)"""
+
+
+def _blocks(spark, d):
+    """Edges and method tests of a function for every order, with a block for every line: each leads to the next, some also elsewhere."""
+    from pyspark.sql import Window as W
+
+    own = W.partitionBy("l_orderkey")
+    b = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("fn"), (F.row_number().over(own.orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).cast("long").alias("block"), F.count(F.lit(1)).over(own).alias("n"), "l_partkey", "l_suppkey", "l_returnflag").filter("block + 1 < n")
+    edges = b.select("fn", F.col("block").alias("src"), F.lit(0).alias("at"), (F.col("block") + 1).alias("dst"))
+    edges = edges.union(b.filter("l_returnflag <> 'N'").select("fn", "block", F.lit(1), (F.col("l_partkey") + F.col("l_suppkey")) % F.col("n")))
+    method = F.element_at(F.array(*map(F.lit, ("GET", "POST", "PUT"))), (F.col("l_partkey") % 3 + 1).cast("int"))
+    return edges, b.filter("l_returnflag = 'A'").select("fn", "block", method.alias("method"), (F.col("l_suppkey") % 2 == 0).alias("equal"))
+
+
+@register(f"""WITH RECURSIVE {_BLOCKS}, v AS (SELECT fn, 0::BIGINT AS block FROM e UNION SELECT v.fn, e.dst FROM v JOIN e ON e.fn = v.fn AND e.src = v.block),
+ w AS (SELECT fn, block AS out_, 0::BIGINT AS block FROM v WHERE block > 0 UNION SELECT w.fn, w.out_, e.dst FROM w JOIN e ON e.fn = w.fn AND e.src = w.block AND e.dst <> w.out_)
+ SELECT v.fn, v.block, o.block AS by FROM v JOIN v o ON o.fn = v.fn WHERE o.block = 0 OR NOT EXISTS (SELECT 1 FROM w WHERE w.fn = v.fn AND w.out_ = o.block AND w.block = v.block)""", graph=False)
+def block_dominators(spark, d):
+    """Which blocks every way to a block goes through; the other side leaves each block out in turn."""
+    return blocks.dominates(blocks.dominators(_blocks(spark, d)[0]))
+
+
+@register(f"""WITH RECURSIVE {_BLOCKS}, m AS (SELECT fn, method, min(block) AS first FROM t GROUP BY fn, method UNION ALL SELECT DISTINCT fn, '*', 1000000 FROM t),
+ v AS (SELECT fn, method, first, 0::BIGINT AS block FROM m UNION SELECT v.fn, v.method, v.first, e.dst FROM v JOIN e ON e.fn = v.fn AND e.src = v.block LEFT JOIN t ON t.fn = v.fn AND t.block = v.block WHERE t.method IS NULL OR e.at = CASE WHEN (t.method = v.method) = t.equal THEN 0 ELSE 1 END)
+ SELECT fn, block, string_agg(method, ',' ORDER BY first, method) AS methods FROM v GROUP BY fn, block""", graph=False)
+def method_scopes(spark, d):
+    """Methods that each block of a function runs under, where the function tests the method."""
+    return blocks.method_scopes(*_blocks(spark, d))
