@@ -20,7 +20,9 @@ Vectors are summed up as (pages, occurrences, xor of a hash of page and count) f
 parse pages first, so a hot host is no hot group; the template table is one row for each host and joined as Spark sees fit.
 
 Defined results: null html counts as empty and gives an empty text; pages without host share the empty host; repeated rows
-get the same text; unclosed elements end with their page; an empty table gives an empty result; other columns are ignored.
+get the same text; an element that is left open ends where HTML implies it, at the end of one around it or with its page; very
+long pages are read whole, in the memory of one page; an empty table gives an empty result; other columns are ignored
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import html as entities
 import re
 from bisect import bisect
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -41,17 +44,20 @@ from ._common import stage, table
 from .url_filter import url_host
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>[^<>]*)>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^<>]*)>",  # a quoted value may hold signs of tags; else as it stands
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+SENTENCE = frozenset(("button", "select"))  # not article text, but no ends of blocks
 OUTSIDE = frozenset("aside button dialog footer form head header menu nav select title".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer header login menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+LAYOUT = frozenset("area articles bar block bottom box btn button buttons col column container content entries form group header inner item items label left links list section sections panel popular post posts right row slot small stories text title top unit wrap wrapper".split())
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
 MIN_PAGES, SUPPORT = 3, 0.6
 
 Piece = tuple[str, str, str, str]  # kind (open, close, text), name, label, text
@@ -64,26 +70,94 @@ def pieces(page: str) -> Iterator[Piece]:
         if m.start() > at:
             yield "text", "", "", page[at : m.start()]
         at = m.end()
-        if name := m["name"]:
-            name = name.lower()
-            if m["end"]:
+        if name := m["name"] or m["name2"]:
+            name, attrs = name.lower(), m["attrs"] or m["attrs2"] or ""
+            if m["end"] or m["end2"]:
                 yield "close", name, "/" + name, ""
             else:
                 label = name
-                if "=" in m["attrs"]:
-                    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m["attrs"])}
+                if "=" in attrs:
+                    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
                     label += "".join("." + c for c in sorted(set(found.get("class", "").split())))
                     label += "#" + found["id"] if found.get("id") else ""
                 yield "open", name, label, ""
-                if m["attrs"].endswith("/") and name in VOID:
-                    continue
     if at < len(page):
         yield "text", "", "", page[at:]
 
 
+@lru_cache(1 << 16)
 def is_outside(name: str, label: str) -> bool:
-    """Whether an element is no article text by its name, class or id."""
-    return name in OUTSIDE or (len(label) > len(name) and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", label[len(name) :].lower())))
+    """Whether an element is no article text by its name, or for a block by a class or id that is made of marks alone.
+
+    A class like related-posts counts, as the words beside a mark may name layout; one like related-work does not.
+    """
+    if name in OUTSIDE:
+        return True
+    if len(label) == len(name) or name not in BLOCKS:
+        return False
+    for mark in re.split(r"[.#]", label[len(name) :].lower()):
+        words = set(re.split(r"[^a-z]+", mark)) - {""}
+        if words and not MARKS.isdisjoint(words) and words <= MARKS | LAYOUT:
+            return True
+    return False
+
+
+class Open:
+    """Open elements of a page with what is kept for each, and the ends that HTML implies.
+
+    The start of a block ends an open paragraph, an item ends the item before it in its list, a cell or row the one before it in
+    its table; an end tag ends its innermost open element and all in it, and counts for nothing where none is open.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple] = []  # name, what is kept
+        self.blocks: list[int] = []  # places of blocks in stack
+        self.counts: dict[str, int] = {}
+
+    def _pop_to(self, place: int) -> list:
+        ended = []
+        while len(self.stack) > place:
+            name, kept = self.stack.pop()
+            self.counts[name] -= 1
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            ended.append(kept)
+        return ended
+
+    def start(self, name: str) -> list:
+        """Ends what the start of an element ends; what was kept of it."""
+        ended: list = []
+        if not self.blocks or name not in BLOCKS:
+            return ended
+        if self.stack[self.blocks[-1]][0] == "p":
+            ended += self._pop_to(self.blocks[-1])
+        if ends := ENDS.get(name):
+            while self.blocks and self.stack[self.blocks[-1]][0] in ends:
+                ended += self._pop_to(self.blocks[-1])
+        return ended
+
+    def push(self, name: str, kept) -> None:
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, kept))
+        self.counts[name] = self.counts.get(name, 0) + 1
+
+    def end(self, name: str) -> list:
+        """Ends the innermost open element of a name and all in it."""
+        if not self.counts.get(name):
+            return []
+        place = len(self.stack) - 1
+        if self.stack[place][0] == name:
+            self.counts[name] -= 1
+            if self.blocks and self.blocks[-1] == place:
+                self.blocks.pop()
+            return [self.stack.pop()[1]]
+        while self.stack[place][0] != name:
+            place -= 1
+        return self._pop_to(place)
+
+    def rest(self) -> list:
+        return self._pop_to(0)
 
 
 def slots(page: str) -> dict[str, tuple[int, int, int, int]]:
@@ -92,15 +166,17 @@ def slots(page: str) -> dict[str, tuple[int, int, int, int]]:
     Text in elements outside the article counts for none of the elements around them.
     """
     found: dict[str, list[int]] = {}
-    stack: list[list] = []  # name, label, words, hash state, link words are not counted
-    links = hidden = 0
+    opened = Open()
+    links = 0
 
     def end(e: list) -> None:
-        name, label, words, state, _ = e
+        nonlocal links
+        name, label, words, state = e
+        links -= name == "a"
         entry = found.setdefault(label, [0, 0, 0, 0])
-        entry[1], entry[2], entry[3] = words, state & 0x7FFFFFFFFFFFFFFF, len(stack)
-        if stack:
-            parent = stack[-1]
+        entry[1], entry[2], entry[3] = words, state & 0x7FFFFFFFFFFFFFFF, len(opened.stack)
+        if opened.stack:
+            parent = opened.stack[-1][1]
             parent[3] = xxhash.xxh3_64_intdigest(f"{parent[3]}:{state}")
             if not is_outside(name, label):
                 parent[2] += words
@@ -108,24 +184,20 @@ def slots(page: str) -> dict[str, tuple[int, int, int, int]]:
     for kind, name, label, text in pieces(page):
         if kind == "open":
             found.setdefault(label, [0, 0, 0, 0])[0] += 1
-            if name == "p" and stack and stack[-1][0] == "p":
-                end(stack.pop())
+            for e in opened.start(name):
+                end(e)
             if name not in VOID:
-                stack.append([name, label, 0, 0, name == "a"])
+                opened.push(name, [name, label, 0, 0])
                 links += name == "a"
         elif kind == "close":
-            if any(e[0] == name for e in stack[-32:]):
-                while True:
-                    e = stack.pop()
-                    links -= e[4]
-                    end(e)
-                    if e[0] == name:
-                        break
-        elif stack and (words := len(text.split())):
-            stack[-1][3] = xxhash.xxh3_64_intdigest(f"{stack[-1][3]}:{text}")
-            stack[-1][2] += 0 if links or hidden else words
-    while stack:
-        end(stack.pop())
+            for e in opened.end(name):
+                end(e)
+        elif opened.stack and (words := len(text.split())):
+            top = opened.stack[-1][1]
+            top[3] = xxhash.xxh3_64_intdigest(f"{top[3]}:{text}")
+            top[2] += 0 if links else words
+    for e in opened.rest():
+        end(e)
     return {k: tuple(v) for k, v in found.items()}
 
 
@@ -159,23 +231,17 @@ def tokens(page: list[Piece], classes: dict[str, str]) -> list[list[str]]:
             counts[label] = counts.get(label, 0) + 1
     once = {k for k, n in counts.items() if n == 1 and k in classes}
     made: list[list[str]] = []
-    stack: list[tuple[str, str]] = []
+    opened = Open()
     for kind, name, label, _ in page:
         here: list[str] = []
         if kind == "open":
-            if name == "p" and stack and stack[-1][0] == "p":
-                here.append("/" + stack.pop()[1])
-            here.append(label)
+            here += ["/" + e for e in opened.start(name)] + [label]
             if name not in VOID:
-                stack.append((name, label))
-        elif kind == "close" and any(e[0] == name for e in stack[-32:]):
-            while True:
-                e = stack.pop()
-                here.append("/" + e[1])
-                if e[0] == name:
-                    break
+                opened.push(name, label)
+        elif kind == "close":
+            here += ["/" + e for e in opened.end(name)]
         made.append([t for t in here if t.removeprefix("/") in once])
-    made.append([t for t in ("/" + e[1] for e in reversed(stack)) if t.removeprefix("/") in once])
+    made.append([t for t in ("/" + e for e in opened.rest()) if t.removeprefix("/") in once])
     return made
 
 
@@ -347,40 +413,37 @@ def _text_of(parts: list[Piece], main: str | None, constant: frozenset[str]) ->
             blocks.append(text)
         run.clear()
 
-    inside, depth, own = main is None, 0, ""
-    skip, skip_depth = "", 0
+    opened = Open()
+    inside, skipping = int(main is None), 0
+
+    def leave(kept: str) -> None:
+        nonlocal inside, skipping
+        if kept == "skip":
+            skipping -= 1
+        elif kept == "main":
+            flush()
+            inside -= 1
+
     for kind, name, label, text in parts:
-        if skip:
-            if name == skip:
-                skip_depth += 1 if kind == "open" else -1
-                if not skip_depth:
-                    skip = ""
-            elif main is not None and not inside and kind == "open" and label == main:
-                skip = ""  # an unclosed part before the main slot
-            if skip or name == kind:
-                continue
-            if not (kind == "open" and label == main and not inside):
-                continue
-        if not inside:
-            if kind == "open" and label == main:
-                inside, depth, own = True, 1, name
-            continue
         if kind == "text":
-            run.append(text)
+            if inside and not skipping:
+                run.append(text)
             continue
-        if main is not None and name == own:
-            depth += 1 if kind == "open" else -1
-            if not depth:
+        for kept in opened.start(name) if kind == "open" else opened.end(name):
+            leave(kept)
+        kept = ""
+        if kind == "open" and name not in VOID:
+            if inside and (skipping or is_outside(name, label) or label in constant):
+                kept = "skip"
+            elif not inside and label == main:
+                kept = "main"
+            opened.push(name, kept)
+        if inside and not skipping:
+            if name in BLOCKS or name in OUTSIDE and name not in SENTENCE:
                 flush()
-                inside = False
-                continue
-        if kind == "open" and name not in VOID and (is_outside(name, label) or label in constant):
-            flush()
-            skip, skip_depth = name, 1
-        elif name in BLOCKS:
-            flush()
-        elif name == "br":
-            run.append(" ")
+            elif name == "br":
+                run.append(" ")
+        skipping, inside = skipping + (kept == "skip"), inside + (kept == "main")
     flush()
     return "\n\n".join(blocks)
 
