@@ -4,8 +4,9 @@ Vectors are turned into integer term weights (one term for each dimension). Rows
 small blocks of neighbours, by halving it along the term that spreads most. A block keeps the largest and the smallest weight
 of each term; their products with a query, summed over the terms, bound every score in the block. Each query visits the blocks
 of a range in falling order of that bound and scores a block through its forward index (a dense row of weights for each
-document) until the bound is below its k-th best score, so no result is lost. A last window over the ranges' lists gives the k
-best of all.
+document) until the bound is below its k-th best score, so no result is lost. Where there are many ranges a share of them goes
+first, and the k-th best scores found there are floors for all others, which skip blocks below them and return only what
+reaches them. A last window over the ranges' lists gives the k best of all.
 
 Queries are dealt into chunks and meet every range once; that is the stated query set against all rows, in blocks.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ._common import table
+from ._common import sized, stage, table
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -77,7 +78,7 @@ def neighbours(docs: np.ndarray, block: int) -> np.ndarray:
 
 
 def search_range(q: pd.DataFrame, d: pd.DataFrame, k: int, block: int) -> tuple[pd.DataFrame, int, int]:
-    """Top k of one range for each query of a chunk, by bounds of its blocks; and how many blocks were scored for a query, of how many."""
+    """Top k of one range for each query (id, v, floor) of a chunk, none below its floor, by bounds of its blocks; and how many blocks were scored for a query, of how many."""
     d = d.sort_values("id", kind="stable")
     width = max([len(x) for x in q["v"]] + [len(x) for x in d["v"]] + [1])
     queries, docs = _dense(q["v"], width), _dense(d["v"], width)
@@ -89,13 +90,14 @@ def search_range(q: pd.DataFrame, d: pd.DataFrame, k: int, block: int) -> tuple[
     bound = _exact(np.concatenate([positive, queries - positive], 1), np.concatenate([high, low], 1))
     order = np.argsort(-np.maximum(bound, np.iinfo(np.int64).min + 1), 1, kind="stable")
     least = np.iinfo(np.int64).min
+    floor = q["floor"].to_numpy(np.int64) if "floor" in q else np.full(len(own), least)
     best = np.full((len(own), k), least)  # scores, falling
     where = np.full((len(own), k), len(ids))  # positions in ids; equal scores in rising position
     alive = np.arange(len(own))
     scored = 0
     for step in range(len(starts)):
         turn = order[alive, step]
-        alive = alive[bound[alive, turn] >= best[alive, k - 1]]
+        alive = alive[bound[alive, turn] >= np.maximum(best[alive, k - 1], floor[alive])]
         turn = order[alive, step]
         scored += len(alive)
         for b in np.unique(turn):
@@ -106,30 +108,42 @@ def search_range(q: pd.DataFrame, d: pd.DataFrame, k: int, block: int) -> tuple[
             p = np.concatenate([where[who], np.broadcast_to(at, score.shape)], 1)
             first = np.lexsort((p, -np.maximum(s, least + 1)), axis=1)[:, :k]
             best[who], where[who] = np.take_along_axis(s, first, 1), np.take_along_axis(p, first, 1)
-    found = best > least
+    found = (best > least) & (best >= floor[:, None])
     return pd.DataFrame({"query_id": np.repeat(own, found.sum(1)), "vec_id": ids[where[found]], "score": best[found]}), scored, len(own) * len(starts)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 32, range_rows: int = 8192, chunk_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 32, range_rows: int = 8192, chunk_rows: int = 1024, first_of: int = 4, first_most: int = 64) -> DataFrame:
     """k best rows of vectors (id, v) for each row of queries (id, v) as (query_id, rank, vec_id, score); ties to the smaller id.
 
-    The number of ranges and chunks follows the row counts, so that a task holds range_rows and chunk_rows rows on average.
+    The number of ranges and chunks follows the row counts, so that a task holds range_rows and chunk_rows rows on average. One
+    range of first_of, and no more than first_most, goes first and gives the floors.
     """
     n, m = vectors.count(), queries.count()
     ranges, chunks = max(1, -(-n // range_rows)), max(1, -(-m // chunk_rows))
     d = vectors.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)))
     d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     q = queries.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int"))
-    q = q.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long"))))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
         return search_range(a, b, k, block)[0]
 
-    found = q.groupBy("chunk", "range").cogroup(d.groupBy("chunk", "range")).applyInPandas(search, "query_id long, vec_id long, score long")
+    def wave(asked: DataFrame, lo: int, hi: int) -> DataFrame:
+        asked = asked.withColumn("range", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - 1).cast("long"))))
+        some = d.filter((F.col("range") >= lo) & (F.col("range") < hi))
+        return asked.groupBy("chunk", "range").cogroup(some.groupBy("chunk", "range")).applyInPandas(search, "query_id long, vec_id long, score long")
+
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda found: found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    least = F.lit(np.iinfo(np.int64).min)
+    early = min(ranges // first_of, first_most)
+    if not early:
+        return best(wave(q.withColumn("floor", least), 0, ranges)).select("query_id", "rank", "vec_id", "score")
+    first = stage(best(wave(q.withColumn("floor", least), 0, early)), "topk-first")
+    floors = stage(first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor")), "topk-floors")
+    later = wave(q.join(sized(floors), "id", "left").withColumn("floor", F.coalesce("floor", least)), early, ranges)
+    return best(first.drop("rank").union(later)).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
