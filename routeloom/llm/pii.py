@@ -133,7 +133,7 @@ def shape(s: str) -> str:
     """Runs of digits, capitals and letters as one sign each."""
     for pattern, sign in _SHAPES:
         s = pattern.sub(lambda m, c=sign: c if c != "a" or m[0] != "A" else "A", s)
-    return s[:40]
+    return s
 
 
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[int]:
@@ -148,7 +148,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[i
     at = _AT.search(body)
     names.append(f"spelt={bool(at)},{bool(_DOT.search(body, at.end()) if at else '.' in body)},{j - i}")
     names.append(f"ends={form[:2]},{form[-2:]}")
-    names.append(f"separators={''.join(sorted(set(body) - _ALNUM))[:6]},{min(n, 20)}")
+    names.append(f"separators={''.join(sorted(set(body) - _ALNUM))},{min(n, 20)}")
     names.append(f"bracket={'(' in body},plus={body.startswith('+')},phone={10 <= n <= 15}")
     names.append(f"luhn={not letters and 14 <= n <= 19 and luhn(digits)}")
     if form == "9.9.9.9":
@@ -275,13 +275,23 @@ def replaced(text: str, spans: list[Span], put) -> tuple[str, list[Span]]:
     return "".join(out) + text[done:], found
 
 
-def examples(region: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]]]:
-    """A region as it is, with its base spans rewritten, and with them replaced by harmless numbers."""
+def labelled(region: str) -> list[Span]:
+    """Spans that a region is labelled with: base ones that don't overlap, and single tokens outside them that pass a base pattern alone, as two numbers side by side do that the pattern takes for one."""
     spans, last = [], 0
     for x in base_spans(region):
         if x[1] >= last:
             spans.append(x)
             last = x[2]
+    for m in _TOKEN.finditer(region):
+        s, e = segment_span(region, *m.span())
+        if not any(a < e and b > s for _, a, b in spans):
+            spans += [(kind, s, e) for kind, a, b in base_spans(region[s:e])[:1] if (a, b) == (0, e - s)]
+    return sorted(spans, key=lambda x: x[1])
+
+
+def examples(region: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]]]:
+    """A region as it is, with its base spans rewritten, and with them replaced by harmless numbers."""
+    spans = labelled(region)
     seed = int.from_bytes(hashlib.blake2b(region.encode(), digest_size=6).digest(), "little")
     found = [example(region, spans)]
     if spans:

@@ -408,3 +408,34 @@ def test_top_k_prunes_blocks_and_holds_large_numbers(spark):
     big, small = 2**63 - 1, -(2**63) + 1
     assert [(x.query_id, x.vec_id, x.score) for x in got] == [(0, 1, big), (0, 1, big), (20, 0, small), (20, 1, small)]
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_topk_floors_from_the_first_ranges(spark):
+    """The same results whether or not ranges share floors, with ties, repeated rows and fewer rows than k; later ranges return less."""
+    r = np.random.default_rng(6)
+    rows = [(int(i), (r.integers(-3, 4, 5)).tolist()) for i in r.permutation(150)] + [(3, [9, 9, 9, 9, 9])] * 3
+    vectors = spark.createDataFrame(rows, "id long, v array<long>")
+    queries = spark.createDataFrame([(i, [1, -2, 3, 0, i]) for i in range(12)], "id long, v array<long>")
+    plain = [tuple(x) for x in topk.top_k(vectors, queries, 7).orderBy("query_id", "rank").collect()]
+    for sizes in ({"range_rows": 10}, {"range_rows": 10, "first_of": 2, "chunk_rows": 5}, {"range_rows": 2}):
+        assert [tuple(x) for x in topk.top_k(vectors, queries, 7, **sizes).orderBy("query_id", "rank").collect()] == plain
+    want = []
+    for q in range(12):
+        own = sorted((-int(np.dot([1, -2, 3, 0, q], v)), i) for i, v in rows if i != q)[:7]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(own, 1)]
+    assert plain == want
+    import pandas as pd
+
+    d, q = (pd.DataFrame({"id": [i for i, _ in x], "v": [v for _, v in x]}) for x in (rows, [(900, [1, 1, 1, 1, 1])]))
+    free = topk.search_range(q, d, 7, 8)
+    held = topk.search_range(q.assign(floor=int(free[0].score.iloc[3])), d, 7, 8)
+    assert len(held[0]) < len(free[0]) and held[1] <= free[1] and (held[0].score >= free[0].score.iloc[3]).all()
+
+
+def test_two_cards_side_by_side_are_both_found():
+    """The base pattern takes two numbers side by side for one and drops it; the field, which learns from such tokens, adds both."""
+    regions = [f"pay 4465758382889437 4465758382889437 now {i}" for i in range(6)] + [f"mail a{i}@b.org or 4465758382889437 today {i}" for i in range(6)]
+    model = pii.SemiCrf().fit([x for r in regions for x in pii.examples(r)])
+    base, found = pii.find("my cards: 4111111111111111 4111111111111111 thanks", model)
+    assert base == [] and found == [("card", 10, 26), ("card", 27, 43)]
+    assert pii.labelled("x 4465758382889437 4465758382889437") == [("card", 2, 18), ("card", 19, 35)]
