@@ -233,9 +233,14 @@ def external(kind: Column, flag: Column) -> Column:
     return (F.coalesce(flag, F.lit("")) == "true") & (kind != "interface_call")
 
 
+# Elements whose URLs are assets.
+ASSETS = ("script", "img", "link", "source")
+
+
 def reference_kind(element: Column, attribute: Column) -> Column:
-    """What a URL attribute makes: request, asset or link."""
-    return F.when(attribute.startswith("hx-"), "request").when((element == "form") & (attribute == "action"), "link").when(element.isin("img", "script", "link", "source", "video", "audio", "iframe"), "asset").otherwise("link")
+    """What a URL attribute makes: request, asset or link; empty for others, such as a frame's."""
+    asks = attribute.startswith("hx-") | (element == "form") & (attribute == "action")
+    return F.when(asks, "request").when(element.isin(*ASSETS), "asset").when((element == "a") & (attribute == "href"), "link").otherwise("")
 
 
 def join_path(prefix: Column, path: Column) -> Column:
@@ -243,16 +248,25 @@ def join_path(prefix: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(prefix, "/+$", ""), F.when(path.startswith("/") | (path == ""), path).otherwise(F.concat(F.lit("/"), path)))
 
 
+_VERB = r"%[ #0+-]*[*\d]*(?:\.[*\d]+)?[%A-Za-z]"  # flags, width, precision, letter
+
+
 def fold_format(text: Column, arguments: Column) -> Column:
-    """A format with its verbs replaced, in order, by lists of alternatives: all results, {?} for a verb without a known value."""
-    pieces = F.split(text, r"%[a-z]", -1)
-    known = lambda i: F.coalesce(F.get(arguments, i), F.array(F.lit("{?}")))
-    start = F.array(F.get(pieces, F.lit(0)))
+    """A format with its verbs replaced, in order, by lists of alternatives: all results, {?} for a verb without a known value.
+
+    Two percent signs are one and take no argument; a verb may have flags, a width and a precision.
+    """
+    pieces, verbs = F.split(text, _VERB, -1), F.regexp_extract_all(text, F.lit(_VERB), F.lit(0))
+    start = F.struct(F.array(F.get(pieces, F.lit(0))).alias("out"), F.lit(0).alias("used"))
 
     def step(acc: Column, i: Column) -> Column:
-        return concat_alternatives(concat_alternatives(acc, known(i)), F.array(F.get(pieces, i + 1)))
+        sign = F.get(verbs, i) == "%%"
+        value = F.when(sign, F.array(F.lit("%"))).otherwise(F.coalesce(F.get(arguments, acc["used"]), F.array(F.lit("{?}"))))
+        out = concat_alternatives(concat_alternatives(acc["out"], value), F.array(F.get(pieces, i + 1)))
+        return F.struct(out.alias("out"), (acc["used"] + F.when(sign, 0).otherwise(1)).alias("used"))
 
-    return F.when(F.size(pieces) == 1, start).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 2, F.lit(0))), start, step))
+    places = F.when(F.size(verbs) > 0, F.sequence(F.lit(0), F.size(verbs) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda acc: acc["out"])
 
 
 def line_at(text: Column, offset: Column) -> Column:

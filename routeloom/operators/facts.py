@@ -70,14 +70,23 @@ def named_statements(calls: DataFrame) -> DataFrame:
 
 
 # What the last call of an ORM chain does.
-FINISHERS = {"Create": "insert", "CreateInBatches": "insert", "Save": "insert,update", "First": "select", "Find": "select", "Take": "select", "Last": "select", "Scan": "select", "Pluck": "select", "Count": "select", "Row": "select", "Rows": "select", "FirstOrCreate": "select,insert", "FirstOrInit": "select", "Update": "update", "Updates": "update", "UpdateColumn": "update", "UpdateColumns": "update", "Delete": "delete"}
+FINISHERS = {"Create": "insert", "CreateInBatches": "insert", "Save": "insert,update", "First": "select", "Find": "select", "FindInBatches": "select", "Take": "select", "Last": "select", "Scan": "select", "Pluck": "select", "Count": "select", "Row": "select", "Rows": "select", "FirstOrCreate": "select,insert", "FirstOrInit": "select", "Update": "update", "Updates": "update", "UpdateColumn": "update", "UpdateColumns": "update", "Delete": "delete"}
+
+
+# Finishers whose first argument is the model or a list of it.
+TAKES_MODEL = ("First", "Take", "Last", "Find", "FindInBatches", "FirstOrInit", "Create", "CreateInBatches", "Save", "FirstOrCreate", "Delete")
 
 
 def chain_uses(chains: DataFrame) -> DataFrame:
-    """(call, table, op) of ORM chains (call, method, model, table): the named table, else the model's; raw statements are left out."""
+    """(call, table, op) of ORM chains (call, method, model, table[, argument]); raw statements are left out.
+
+    The table is the named one, else the model's, else for finishers that take a model that of the type of the first argument.
+    """
     ops = F.split(F.element_at(F.create_map(*[F.lit(x) for p in FINISHERS.items() for x in p]), F.col("method")), ",")
-    name = F.when(F.coalesce("table", F.lit("")) != "", F.col("table")).otherwise(X.plural(X.snake_case(F.col("model"))))
-    return chains.filter(F.col("method").isin(*FINISHERS)).select("call", name.alias("table"), F.explode(ops).alias("op"))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in chains.columns else F.lit("")
+    model = F.when(text("model") != "", text("model")).when(F.col("method").isin(*TAKES_MODEL), F.regexp_replace(text("argument"), r"^.*[.*&\[\]]", "")).otherwise("")
+    name = F.when(text("table") != "", F.col("table")).when(model != "", X.plural(X.snake_case(model)))
+    return chains.filter(F.col("method").isin(*FINISHERS)).select("call", name.alias("table"), F.explode(ops).alias("op")).filter("table IS NOT NULL")
 
 
 def linked(sinks: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -501,12 +501,16 @@ def alternatives(spark, d):
     return o.select("k", F.array_join(X.concat_alternatives(F.col("v"), F.col("s"), 8), "|").alias("joined"), F.array_join(X.drop_empty_alternative(F.array_union(F.concat(F.col("v"), F.array(F.lit(""))), F.col("s"))), "|").alias("united"))
 
 
-@register("""SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN '/u/' || o_custkey || '/' || o_orderpriority || '|/u/' || o_custkey || '/x' ELSE '/u/' || o_custkey || '/{?}' END AS urls, 'select a from t limit $1' AS sql FROM orders""", graph=False)
+@register("""SELECT k, CASE WHEN o_orderstatus = 'F' THEN p || o_custkey || '/' || o_orderpriority || e || '|' || p || o_custkey || '/x' || e ELSE p || o_custkey || '/{?}' || e END AS urls, 'select a' || k || ' from t limit $1' AS sql
+ FROM (SELECT *, o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN '/u/' WHEN 1 THEN '/v%/' WHEN 2 THEN '/w/' ELSE '' END AS p, CASE o_orderkey % 4 WHEN 1 THEN '/{?}' WHEN 2 THEN '%' ELSE '' END AS e FROM orders)""", graph=False)
 def folded_formats(spark, d):
-    """URLs made by formats of known or unknown parts, and holes behind a dollar sign."""
+    """URLs made by formats of known or unknown parts, with widths and percent signs, and holes behind a dollar sign."""
     o = read(spark, d, "orders")
     known = F.when(F.col("o_orderstatus") == "F", F.array(F.array(F.col("o_custkey").cast("string")), F.array(F.col("o_orderpriority"), F.lit("x")))).otherwise(F.array(F.array(F.col("o_custkey").cast("string"))))
-    return o.select(F.col("o_orderkey").alias("k"), F.array_join(X.fold_format(F.lit("/u/%d/%s"), known), "|").alias("urls"), X.hole_parameters(F.lit("select a from t limit ${?}{?}")).alias("sql"))
+    known = F.when(F.col("o_orderkey") % 4 == 1, F.slice(known, 1, 2)).otherwise(known)
+    form = F.element_at(F.array(*map(F.lit, ("/u/%d/%s", "/v%%/%05d/%-8.2f/%T", "/w/%+d/%q%%", "%v/%s"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("select a"), F.col("o_orderkey").cast("string"), F.lit(" from t limit ${?}{?}"))
+    return o.select(F.col("o_orderkey").alias("k"), F.array_join(X.fold_format(form, known), "|").alias("urls"), X.hole_parameters(text).alias("sql"))
 
 
 _DDL = """WITH o AS (SELECT o_custkey AS db, o_orderkey AS k, 't' || o_orderkey AS t, 'u' || o_custkey AS u, o_orderkey % 4 AS f FROM orders), a AS (SELECT *, CASE f WHEN 0 THEN 'r' || k ELSE t END AS tbl FROM o WHERE f <> 2)
@@ -581,11 +585,11 @@ def template_values(spark, d):
 
 
 @register("""WITH l AS (SELECT page_id AS id, unnest(regexp_extract_all(html, '<(?:a|form|img|script|link|div|button)\\b[^>]*>')) AS tag FROM pages), x AS (SELECT id, regexp_extract(tag, '^<([a-z]+)', 1) AS element, regexp_extract(tag, '\\s(href|src|action)\\s*=\\s*"([^"]*)"', 1) AS attribute, regexp_extract(tag, '\\s(?:href|src|action)\\s*=\\s*"([^"]*)"', 1) AS url, tag FROM l)
- SELECT id, element, attribute, url, CASE element WHEN 'a' THEN 'GET' WHEN 'form' THEN 'GET' ELSE '' END AS method, count(*) AS n FROM x WHERE attribute <> '' AND url <> '' AND NOT starts_with(url, '#') AND NOT starts_with(url, 'javascript:') AND (element <> 'link' OR contains(tag, 'stylesheet') OR contains(tag, 'icon')) GROUP BY ALL""", graph=False)
+ SELECT id, element, attribute, url, CASE element WHEN 'a' THEN 'GET' WHEN 'form' THEN 'GET' ELSE '' END AS method, CASE element WHEN 'a' THEN CASE attribute WHEN 'href' THEN 'link' ELSE '' END WHEN 'form' THEN CASE attribute WHEN 'action' THEN 'request' ELSE '' END WHEN 'div' THEN '' WHEN 'button' THEN '' ELSE 'asset' END AS kind, count(*) AS n FROM x WHERE attribute <> '' AND url <> '' AND NOT starts_with(url, '#') AND NOT starts_with(url, 'javascript:') AND (element <> 'link' OR contains(tag, 'stylesheet') OR contains(tag, 'icon')) GROUP BY ALL""", graph=False)
 def page_references(spark, d):
-    """URLs in the markup of every page with their methods."""
+    """URLs in the markup of every page with their methods and kinds."""
     rows = templates.references(read(spark, d, "pages").select(F.col("page_id").alias("id"), "html"))
-    return rows.groupBy("id", "element", "attribute", "url", "method").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("id", "element", "attribute", "url", "method", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("""SELECT o_orderkey AS id, CASE o_orderkey % 6

@@ -46,13 +46,19 @@ def _element(table: Column, text: Column) -> Column:
     parent = plain(_first(text, rf"(?i)\breferences\s+({_TABLE})"))
     action = F.regexp_replace(F.lower(_first(text, r"(?i)\bon\s+delete\s+(cascade|set\s+null|set\s+default|restrict)")), r"\s+", " ")
     return F.array_compact(F.array(
-        F.when(~is_constraint, _change(table, "column", column, kind=kind, not_null=primary | text.rlike(r"(?i)\bnot\s+null\b"))),
+        F.when(~is_constraint & ~text.rlike(r"(?i)^like\s"), _change(table, "column", column, kind=kind, not_null=primary | text.rlike(r"(?i)\bnot\s+null\b"))),
         F.when(primary, _change(table, "primary", name, columns(r"primary\s+key"))),
         F.when(unique, _change(table, "index", name, columns("unique"), unique=F.lit(True))),
         F.when(refers, _change(table, "reference", name, columns(r"foreign\s+key"), parent, _names(_first(text, rf"(?i)\breferences\s+{_TABLE}\s*\(([^()]*)\)")), on_delete=action)),
     ))
 
 
+def _indexed(text: Column) -> Column:
+    """Columns of an index; expressions have none."""
+    plain_ = F.filter(F.split(text, _COMMA), lambda x: ~x.contains("("))
+    return F.filter(F.transform(plain_, lambda x: plain(F.regexp_extract(F.trim(x), rf"^({_NAME})", 1))), lambda x: x != "")
+
+
 _COMMA = r"\s*,(?![^()]*\))\s*"  # a comma outside brackets
 
 
@@ -80,8 +86,8 @@ def changes(files: DataFrame) -> DataFrame:
         )
 
     commands = F.flatten(F.array_compact(F.transform(F.split(_first(t, alter, 2), _COMMA), lambda x: command(F.trim(x)))))
-    index = rf"(?i)^create\s+(unique\s+)?index\s+(?:concurrently\s+)?(?:if\s+not\s+exists\s+)?({_NAME})?\s*on\s+(?:only\s+)?({_TABLE})\s*(?:using\s+\w+\s*)?\(([^()]*)\)"
-    indexed = F.array(_change(plain(_first(t, index, 3)), "index", plain(_first(t, index, 2)), F.transform(_names(_first(t, index, 4)), lambda x: F.regexp_extract(x, r"^(\S+)", 1)), unique=_first(t, index) != ""))
+    index = rf"(?i)^create\s+(unique\s+)?index\s+(?:concurrently\s+)?(?:if\s+not\s+exists\s+)?({_NAME})?\s*on\s+(?:only\s+)?({_TABLE})\s*(?:using\s+\w+\s*)?\((.*)\)[^()]*$"
+    indexed = F.array(_change(plain(_first(t, index, 3)), "index", plain(_first(t, index, 2)), _indexed(_first(t, index, 4)), unique=_first(t, index) != ""))
     gone = rf"(?i)^drop\s+(table|index)\s+(?:concurrently\s+)?(?:if\s+exists\s+)?({_TABLE}(?:\s*,\s*{_TABLE})*)"
     dropped = F.transform(_names(_first(t, gone, 2)), lambda x: _change(x, F.when(F.lower(_first(t, gone)) == "table", "drop").otherwise("drop_index"), x))
     found = F.when(t.rlike(head), create).when(t.rlike(alter), commands).when(t.rlike(index), indexed).when(t.rlike(gone), dropped)

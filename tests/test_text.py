@@ -30,7 +30,7 @@ def test_names(spark):
     assert column(spark, X.url_path, ["/a?b", "https://x/y", "//x", "{?}/z", "x", "/a{?}#b", "/to?u=http://x"]) == ["/a", "", "", "/{?}/z", "", "/a{?}", "/to"]
     assert column(spark, lambda v: X.one_line(v, 5), [" a \n b ", "ééé", "abcdef"]) == ["a b", "éé…", "abcde…"]
     assert column(spark, X.fk_action, ["c", "n", "d", "r", "a"]) == ["cascade", "set null", "set default", "restrict", ""]
-    assert column(spark, lambda v: F.array_join(X.fold_format(v, F.array(F.array(F.lit("a"), F.lit("b")))), " "), ["x", "/%s/", "%s-%d"]) == ["x", "/a/ /b/", "a-{?} b-{?}"]
+    assert column(spark, lambda v: F.array_join(X.fold_format(v, F.array(F.array(F.lit("a"), F.lit("b")))), " "), ["x", "/%s/", "%s-%d", "%05d%%", "%-3.2f|%%", "100%", "%T%T"]) == ["x", "/a/ /b/", "a-{?} b-{?}", "a% b%", "a|% b|%", "100%", "a{?} b{?}"]
     assert column(spark, lambda v: X.line_at(v, F.lit(4)), ["ab\ncd\n", "é\n\nx"]) == [2, 3]
 
 
@@ -42,3 +42,9 @@ def test_match_score(spark, pattern, path, score):
 def test_fallback(spark):
     cases = {"DELETE FROM a WHERE x IN (SELECT y FROM b)": "a:delete b:delete", 'INSERT INTO "Users" SELECT * FROM "Users"': "Users:insert", "select 1 from T join u": "T:select u:select", "update x set y = 1": "x:update", "create table z": "z:ddl"}
     assert column(spark, lambda v: F.array_join(F.transform(X.fallback_tables(v), lambda u: F.concat_ws(":", u["table"], u["op"])), " "), cases) == list(cases.values())
+
+
+def test_reference_kinds(spark):
+    cases = {("form", "action"): "request", ("button", "hx-post"): "request", ("img", "src"): "asset", ("source", "src"): "asset", ("link", "href"): "asset", ("a", "href"): "link", ("iframe", "src"): "", ("video", "src"): "", ("a", "src"): "", ("input", "formaction"): ""}
+    df = spark.createDataFrame([(*k,) for k in cases], "e string, a string")
+    assert {(r.e, r.a): r.k for r in df.select("e", "a", X.reference_kind(F.col("e"), F.col("a")).alias("k")).collect()} == cases
