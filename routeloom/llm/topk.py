@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 32,
     ranges, chunks = max(1, -(-n // range_rows)), max(1, -(-m // chunk_rows))
     d = vectors.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)))
     d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    q = queries.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int"))
+    q = queries.select(F.col("id").alias("id"), F.col("v").alias("v"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -141,8 +141,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 32,
     if not early:
         return best(wave(q.withColumn("floor", least), 0, ranges)).select("query_id", "rank", "vec_id", "score")
     first = stage(best(wave(q.withColumn("floor", least), 0, early)), "topk-first")
-    floors = stage(first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor")), "topk-floors")
-    later = wave(q.join(sized(floors), "id", "left").withColumn("floor", F.coalesce("floor", least)), early, ranges)
+    floors = stage(first.filter(F.col("rank") == k).select(F.col("query_id").alias("_asked"), F.col("score").alias("_floor")), "topk-floors")
+    floored = q.join(sized(floors), F.col("id") == F.col("_asked"), "left").select("id", "v", "chunk", F.coalesce("_floor", least).alias("floor"))
+    later = wave(floored, early, ranges)
     return best(first.drop("rank").union(later)).select("query_id", "rank", "vec_id", "score")
 
 
