@@ -193,11 +193,3 @@ def type_neighborhood(types: DataFrame, edges: DataFrame, most: int = 12) -> Dat
     found = grow(found, out(impl).union(into).select("id", "to", turn), 1)
     at = F.row_number().over(W.partitionBy("seed").orderBy("way", "id"))
     return found.withColumn("at", at).filter(F.col("at") <= most).select("seed", "id", "at")
-
-
-def literal_keys(path: Column, from_end: Column) -> Column:
-    """Places of a path's segments, from the start and, where asked, from the end: what a fitting pattern must share one of."""
-    parts = F.split(F.regexp_replace(path, "^/+|/+$", ""), "/")
-    start = F.transform(parts, lambda x, i: F.concat(i.cast("string"), F.lit(">"), x))
-    end = F.transform(parts, lambda x, i: F.concat((F.size(parts) - i).cast("string"), F.lit("<"), x))
-    return F.when(path.isin("/", "/{$}"), F.array(F.lit("/"))).otherwise(F.when(from_end, F.concat(start, end)).otherwise(start))

@@ -6,22 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import statements
-from .details import literal_keys
+from ..plans.staging import staged
+from . import statements, trie
 
 
 def match_requests(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """(id, route, score) of requests (id, method, values) against routes (key, seq, method, patterns): the best fit, the first of equals.
 
-    A fit has a literal segment in common, at the same place from the start or, where the request's beginning is unknown, from
-    the end; so the two are joined by these instead of all with all.
+    Paths and patterns are brought together once each by a trie of segments, scored once for each pair, and joined back to the
+    requests and routes that have them.
     """
     wanted = requests.select("id", F.col("method").alias("wanted"), F.posexplode("values").alias("v", "url")).withColumn("path", X.url_path(F.col("url"))).filter("path <> ''")
-    wanted = wanted.select("id", "wanted", "v", "path", F.explode(F.array_distinct(literal_keys(F.col("path"), F.col("path").startswith("{?}") | F.col("path").startswith("/{?}")))).alias("key"))
-    known = routes.select(F.col("key").alias("route"), "seq", "method", F.posexplode("patterns").alias("p", "pattern"))
-    known = known.select("route", "seq", "method", "p", "pattern", F.explode(F.array_distinct(F.filter(literal_keys(F.col("pattern"), F.lit(True)), lambda k: ~k.endswith("}") | (k == "/")))).alias("key"))
-    pairs = wanted.join(known, "key").filter((F.col("method") == F.col("wanted")) | (F.col("method") == "ANY") | ((F.col("wanted") == "") & (F.col("method") == "GET")))
-    pairs = pairs.select("id", "v", "path", "route", "seq", "p", "pattern").distinct().withColumn("score", X.match_score(F.col("pattern"), F.col("path"))).filter("score > 0")
+    wanted = staged(wanted.select("id", "wanted", "v", "path"), "wanted")
+    known = staged(routes.select(F.col("key").alias("route"), "seq", "method", F.posexplode("patterns").alias("p", "pattern")), "known")
+    scored = trie.candidates(wanted.select("path"), known.select("pattern")).withColumn("score", X.match_score(F.col("pattern"), F.col("path"))).filter("score > 0")
+    pairs = wanted.join(staged(scored, "scored"), "path").join(known, "pattern").filter((F.col("method") == F.col("wanted")) | (F.col("method") == "ANY") | ((F.col("wanted") == "") & (F.col("method") == "GET")))
     best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "v", "seq", "p", "route")).alias("b"))
     return requests.select("id").join(best, "id", "left").select("id", F.col("b.route").alias("route"), (-F.col("b.s")).alias("score"))
 
