@@ -223,26 +223,32 @@ def _statistics(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.string() if i < 2 else pa.int64()) for i, r in enumerate(rows)], names)
 
 
-def tokens(page: list[Piece], classes: dict[str, str]) -> list[list[str]]:
-    """For each piece of a page the structural tokens it brings, in order, of labels in classes that occur once on the page."""
+def structure(page: list[Piece]) -> tuple[list[list[str]], dict[str, int]]:
+    """For each piece of a page, and for its end, the structural tokens it brings, in order; and how often each label is opened."""
     counts: dict[str, int] = {}
-    for kind, _, label, _ in page:
-        if kind == "open":
-            counts[label] = counts.get(label, 0) + 1
-    once = {k for k, n in counts.items() if n == 1 and k in classes}
     made: list[list[str]] = []
     opened = Open()
     for kind, name, label, _ in page:
         here: list[str] = []
         if kind == "open":
-            here += ["/" + e for e in opened.start(name)] + [label]
+            counts[label] = counts.get(label, 0) + 1
+            here = ["/" + e for e in opened.start(name)]
+            here.append(label)
             if name not in VOID:
                 opened.push(name, label)
         elif kind == "close":
-            here += ["/" + e for e in opened.end(name)]
-        made.append([t for t in here if t.removeprefix("/") in once])
-    made.append([t for t in ("/" + e for e in opened.rest()) if t.removeprefix("/") in once])
-    return made
+            here = ["/" + e for e in opened.end(name)]
+        made.append(here)
+    made.append(["/" + e for e in opened.rest()])
+    return made, counts
+
+
+def tokens(page: list[Piece], classes: dict[str, str], known: tuple[list[list[str]], dict[str, int]] | None = None) -> list[list[str]]:
+    """The structure of a page, held to labels in classes that occur once on it."""
+    made, counts = known or structure(page)
+    once = {k for k, n in counts.items() if n == 1 and k in classes}
+    once |= {"/" + k for k in once}
+    return [[t for t in here if t in once] if here else here for here in made]
 
 
 def arrangement(made: list[list[str]], classes: dict[str, str]) -> Iterator[tuple[str, str, str]]:
@@ -302,8 +308,9 @@ def _of_pages(pages: DataFrame, classes: DataFrame, of_page: Callable, schema: s
             sums: dict[tuple, list[int]] = {}
             for host, page, labels in zip(*(c.to_pylist() for c in b.columns)):
                 parts = list(pieces(page))
+                known = structure(parts)
                 for h, own in ((host, dict((x["label"], x["class"]) for x in labels or ())), (None, common)):
-                    for key, value in of_page(parts, own) if own else ():
+                    for key, value in of_page(parts, own, known) if own else ():
                         merge(sums, (h, *key), value)
             rows = [(*k, *v) for k, v in sums.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
@@ -320,14 +327,14 @@ def _least_and_most(sums: dict, key: tuple, value: int) -> None:
     s[:] = s[0] + 1, min(s[1], value), max(s[2], value)
 
 
-def _arranged(parts: list[Piece], classes: dict[str, str]) -> Iterator[tuple[tuple, None]]:
-    for row in arrangement(tokens(parts, classes), classes):
+def _arranged(parts: list[Piece], classes: dict[str, str], known: tuple) -> Iterator[tuple[tuple, None]]:
+    for row in arrangement(tokens(parts, classes, known), classes):
         yield row, None
 
 
-def _slot_texts(parts: list[Piece], classes: dict[str, str]) -> Iterator[tuple[tuple, int]]:
+def _slot_texts(parts: list[Piece], classes: dict[str, str], known: tuple) -> Iterator[tuple[tuple, int]]:
     texts: dict[str, list[str]] = {}
-    for (kind, _, _, text), slot in zip(parts, slot_of(tokens(parts, classes), classes)):
+    for (kind, _, _, text), slot in zip(parts, slot_of(tokens(parts, classes, known), classes)):
         if slot:
             texts.setdefault(slot, []).append(text if kind == "text" else " ")
     for slot, runs in texts.items():
