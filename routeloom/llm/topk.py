@@ -94,20 +94,26 @@ def search_range(q: pd.DataFrame, d: pd.DataFrame, k: int, block: int) -> tuple[
     best = np.full((len(own), k), least)  # scores, falling
     where = np.full((len(own), k), len(ids))  # positions in ids; equal scores in rising position
     alive = np.arange(len(own))
-    scored = 0
-    for step in range(len(starts)):
-        turn = order[alive, step]
-        alive = alive[bound[alive, turn] >= np.maximum(best[alive, k - 1], floor[alive])]
-        turn = order[alive, step]
-        scored += len(alive)
-        for b in np.unique(turn):
-            who, at = alive[turn == b], place[starts[b] : starts[b] + block]
+    scored, step, width_ = 0, 0, 1
+    while step < len(starts) and len(alive):
+        # the next blocks of every query at once, twice as many each time: each block meets all queries that want it
+        turn = order[alive, step : step + width_]
+        want = bound[alive[:, None], turn] >= np.maximum(best[alive, k - 1], floor[alive])[:, None]
+        alive, turn, want = alive[want[:, 0]], turn[want[:, 0]], want[want[:, 0]]
+        scored += int(want.sum())
+        asks = np.zeros((len(alive), len(starts)), bool)
+        asks[np.nonzero(want)[0], turn[want]] = True
+        for b in np.flatnonzero(asks.any(0)):
+            who, at = alive[asks[:, b]], place[starts[b] : starts[b] + block]
             score = _exact(queries[who], docs[at])
             score[own[who][:, None] == ids[at][None, :]] = least
+            better = (score >= best[who, k - 1][:, None]).any(1)
+            who, score = who[better], score[better]
             s = np.concatenate([best[who], score], 1)
             p = np.concatenate([where[who], np.broadcast_to(at, score.shape)], 1)
             first = np.lexsort((p, -np.maximum(s, least + 1)), axis=1)[:, :k]
             best[who], where[who] = np.take_along_axis(s, first, 1), np.take_along_axis(p, first, 1)
+        step, width_ = step + width_, min(2 * width_, 32)
     found = (best > least) & (best >= floor[:, None])
     return pd.DataFrame({"query_id": np.repeat(own, found.sum(1)), "vec_id": ids[where[found]], "score": best[found]}), scored, len(own) * len(starts)
 
