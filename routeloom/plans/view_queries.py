@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import diagrams, traverse, views
+from ..operators import diagrams, flow, sequence, traverse, views
 from ..sources import driver_tables as D, migrations as M
 from ..sources.driver_tables import read
-from .queries import _REACH, QUERIES, SQL, flow_tree, register, table_routes
+from .queries import _REACH, _tree_edges, QUERIES, SQL, flow_tree, register, table_routes
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -125,6 +125,65 @@ def sequence_diagram(spark, d):
     return diagrams.sequence_lines(flow_tree(spark, d))
 
 
+def _site_flows(spark, d):
+    """Flow trees of all routes in the order of calls, and the nodes: urgent orders are called through their customer's interface, the rest but low ones in groups."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).alias("p"))
+    e = _tree_edges(spark, d).withColumn("key", F.when((F.col("kind") == "calls") & F.col("dst").startswith("method:"), F.substring_index("dst", ":", -1).cast("long")))
+    e = e.join(o, F.col("key") == F.col("o_orderkey"), "left")
+    table = D.nodes(spark, d).filter("kind = 'sql_table'").select(F.col("id").alias("t_id"), F.col("name").alias("t_name"))
+    e = e.join(table, (F.col("kind") == "queries") & (F.col("dst") == F.col("t_id")), "left")
+    port = F.concat(F.lit("interface_call:"), F.col("o_custkey").cast("string"))
+    at = F.when(F.col("key").isNotNull(), F.col("key")).when(F.col("dst").startswith("func:"), F.lit(1 << 60)).when(F.col("kind") == "queries", F.substring_index("dst", ":", -1).cast("long")).otherwise(F.substring_index("dst", "_", -1).cast("long"))
+    e = e.withColumn("at", at).withColumn("urgent", F.coalesce(F.col("p") == "1", F.lit(False)))
+    group = F.when(F.col("p").isin("2", "3", "4"), F.concat(F.lit("g"), "p")).otherwise("")
+    branch = F.when(F.col("key") % 3 == 0, "each").when(F.col("key") % 3 == 1, "2").otherwise("10")
+    plain = e.filter("NOT urgent").select("root", "src", F.coalesce("t_name", "dst").alias("dst"), "kind", "op", "at", group.alias("parallel"), F.when(group == "", "").otherwise(branch).alias("branch"))
+    ports = e.filter("urgent").select("root", "src", port.alias("dst"), "kind", "op", "at", F.lit("").alias("parallel"), F.lit("").alias("branch"))
+    behind = e.filter("urgent").select("root", port.alias("src"), "dst", F.lit("dispatches_to").alias("kind"), "op", "at", F.lit("").alias("parallel"), F.lit("").alias("branch"))
+    n = D.nodes(spark, d).select("id", "name", "kind", "package", "detail", "file", "start_line", F.lit("").alias("entry_kind"))
+    key = F.col("c_custkey").cast("string")
+    own = read(spark, d, "customer").select(F.concat(F.lit("interface_call:"), key).alias("id"), F.concat(F.lit("Port"), key).alias("name"), F.lit("interface_call").alias("kind"), *[F.lit("").alias(c) for c in ("package", "detail", "file")], F.lit(0).alias("start_line"), F.lit("").alias("entry_kind"))
+    return flow.trees(plain.union(ports).union(behind)), n.union(own)
+
+
+@register("""WITH RECURSIVE m AS (SELECT c_custkey AS root, ['GET','POST','ANY'][(c_custkey % 3 + 1)::INT] AS method FROM customer),
+ chain AS (SELECT root, method, root AS f, 1 AS lvl FROM m UNION ALL SELECT c.root, c.method, n.c_custkey, c.lvl + 1 FROM chain c JOIN customer n ON n.c_custkey = c.f - c.f % 5 + (c.f + 1) % 5 WHERE n.c_custkey <> c.root),
+ allowed AS (SELECT c.*, o_orderkey AS o, substr(o_orderpriority, 1, 1) AS p, CASE WHEN substr(o_orderpriority, 1, 1) IN ('2', '3', '4') THEN 'g' || substr(o_orderpriority, 1, 1) ELSE '' END AS g,
+   CASE o_orderkey % 3 WHEN 0 THEN 'each' WHEN 1 THEN '2' ELSE '10' END AS br, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS leads
+  FROM chain c JOIN orders ON o_custkey = c.f WHERE CASE o_orderstatus WHEN 'F' THEN method IN ('GET', 'ANY') WHEN 'P' THEN method <> 'GET' ELSE true END),
+ top AS (SELECT root, max(lvl) AS deepest FROM allowed WHERE leads GROUP BY root),
+ items AS (SELECT root, lvl, o AS item, false AS port, g, CASE WHEN g = '' THEN '' ELSE br END AS br, CASE WHEN g = '' THEN o ELSE min(o) OVER (PARTITION BY root, lvl, g) END AS first FROM allowed WHERE leads AND p <> '1'
+  UNION ALL SELECT root, lvl, min(o), true, '', '', min(o) FROM allowed WHERE p = '1' GROUP BY root, lvl HAVING bool_or(leads)),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY root, lvl ORDER BY first, TRY_CAST(br AS INTEGER) NULLS LAST, br, item) AS place FROM items),
+ turns AS (SELECT *, coalesce(lag(g) OVER w, '') AS g0, coalesce(lead(g) OVER w, '') AS g1, lag(br) OVER w AS br0 FROM placed WINDOW w AS (PARTITION BY root, lvl ORDER BY place)),
+ methods AS (SELECT p.root, p.lvl, p.place, p.port, a.o, a.f, count(*) OVER (PARTITION BY p.root, p.lvl, p.place) AS many, row_number() OVER (PARTITION BY p.root, p.lvl, p.place ORDER BY a.o) AS nth
+  FROM placed p JOIN allowed a ON a.root = p.root AND a.lvl = p.lvl AND a.leads AND CASE WHEN p.port THEN a.p = '1' ELSE a.o = p.item END),
+ sinks AS (SELECT l_orderkey AS o, l_suppkey AS s, string_agg(op || ' ' || p_name, ', ' ORDER BY l_partkey, p_name, op) AS text FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey, CASE l_returnflag WHEN 'A' THEN 'UPDATE' WHEN 'R' THEN 'DELETE' ELSE 'SELECT' END AS op FROM lineitem) JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+ lane AS (SELECT c_custkey AS f, 'nation' || c_nationkey AS lane, c_name FROM customer),
+ msg AS (SELECT c.root, c.lvl, 0 AS place, 0 AS o, -1 AS s, CASE WHEN c.lvl = 1 THEN 'Browser' ELSE b.lane END AS a, l.lane AS z, CASE WHEN c.lvl = 1 THEN c.method || ' /customers/' || c.root || ' → ' ELSE '' END || l.c_name AS text, 'func:' || c.f AS node
+   FROM chain c JOIN top t ON t.root = c.root AND c.lvl <= deepest JOIN lane l ON l.f = c.f LEFT JOIN chain y ON y.root = c.root AND y.lvl = c.lvl - 1 LEFT JOIN lane b ON b.f = y.f
+  UNION ALL SELECT root, lvl, place, o, -1, lane, 'orders', CASE WHEN port THEN 'Port' || f || ' → ' ELSE '' END || 'Order' || o, 'method:' || o FROM methods JOIN lane USING (f)
+  UNION ALL SELECT root, lvl, place, o, s, 'orders', 'Database', text, 'sink.sql:' || o || '_' || s FROM methods JOIN sinks USING (o)),
+ told AS (SELECT *, row_number() OVER (PARTITION BY root, z ORDER BY lvl, place, o, s) AS seen FROM msg),
+ made AS (SELECT root, lvl, place, o, s, 2 AS sub, '  ' || a || '->>' || z || ': ' || text AS text, node FROM told
+  UNION ALL SELECT root, lvl, place, o, s, 1, '  participant ' || z || ' as ' || z, NULL FROM told WHERE seen = 1
+  UNION ALL SELECT root, 0, 0, 0, 0, unnest([0, 1, 2]), unnest(['sequenceDiagram', '  actor Browser', '  autonumber']), NULL FROM top
+  UNION ALL SELECT root, lvl, place, 0, -2, 0, CASE WHEN g <> g0 THEN '  par ' ELSE '  and ' END || CASE br WHEN 'each' THEN 'each element' ELSE 'branch ' || br END, NULL FROM turns WHERE g <> '' AND (g <> g0 OR br <> br0)
+  UNION ALL SELECT root, lvl, place, 1::BIGINT << 60, 0, 3, '  end', NULL FROM turns WHERE g <> '' AND g <> g1
+  UNION ALL SELECT root, lvl, place, o, -2, 0, CASE nth WHEN 1 THEN '  alt ' ELSE '  else ' END || 'Order' || o, NULL FROM methods WHERE port AND many > 1
+  UNION ALL SELECT root, lvl, place, 1::BIGINT << 60, 0, 3, '  end', NULL FROM methods WHERE port AND many > 1 AND nth = 1)
+ SELECT 'route:' || root AS root, row_number() OVER w::INTEGER AS line, text, CASE WHEN node IS NOT NULL THEN count(node) OVER w ELSE 0 END AS number, coalesce(node, '') AS node FROM made WINDOW w AS (PARTITION BY root ORDER BY lvl, place, o, s, sub)""", graph=False)
+def flow_sequence(spark, d):
+    """Sequence diagrams of all flows, with calls in their order, parallel groups and alternatives."""
+    return sequence.lines(*_site_flows(spark, d)).na.fill(0, ["number"]).na.fill("", ["node"])
+
+
+@register()
+def flow_outline(spark, d):
+    """The same flows as drawn lines."""
+    return sequence.outline(*_site_flows(spark, d))
+
+
 @register("""SELECT l_orderkey AS k, l_linenumber AS line, 'select ''?'' from part_' || l_partkey || ' where a = $1 and b = $2::int' || CASE l_returnflag WHEN 'A' THEN ' or c = $3' ELSE '' END AS sql FROM lineitem""", graph=False)
 def positional_parameters(spark, d):
     """Statements made from order lines with numbered parameters."""
