@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import diagrams, flow, sequence, traverse, views
-from ..sources import driver_tables as D, migrations as M
+from ..model import EDGES, NODES, Graph
+from ..operators import diagrams, flow, sequence, store, traverse, views
+from ..sources import documents, driver_tables as D, migrations as M
 from ..sources.driver_tables import read
+from .staging import folder
 from .queries import _REACH, _tree_edges, QUERIES, SQL, flow_tree, register, table_routes
 
 __all__ = ["QUERIES", "SQL"]
@@ -184,6 +186,18 @@ def flow_outline(spark, d):
     return sequence.outline(*_site_flows(spark, d))
 
 
+@register("""SELECT 'node' AS part, id AS a, kind, name AS b FROM nodes UNION ALL SELECT DISTINCT 'edge', src, kind, dst FROM edges""")
+def document_graph(spark, d):
+    """The derived graph, written as a document in parts and read back by ranges of bytes."""
+    e = D.edges(spark, d).select("src", "dst", "kind").distinct()
+    none = F.create_map().cast("map<string,string>")
+    e = store.ordered_ids(e, ["src", "dst", "kind"]).select("id", "src", "dst", "kind", F.lit("").alias("file"), *[F.lit(0).alias(c) for c in ("start_line", "start_col", "end_line", "end_col")], none.alias("attrs"))
+    out = folder(spark, "document")
+    documents.write_document(Graph(D.nodes(spark, d).select(NODES.names), e.select(EDGES.names)), out)
+    g = documents.read_document(spark, out)
+    return g.nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), "kind", F.col("name").alias("b")).union(g.edges.select(F.lit("edge"), "src", "kind", "dst"))
+
+
 @register("""SELECT l_orderkey AS k, l_linenumber AS line, 'select ''?'' from part_' || l_partkey || ' where a = $1 and b = $2::int' || CASE l_returnflag WHEN 'A' THEN ' or c = $3' ELSE '' END AS sql FROM lineitem""", graph=False)
 def positional_parameters(spark, d):
     """Statements made from order lines with numbered parameters."""
