@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import blocks, details, facts, mounts, search, statements, traverse, values
+from ..operators import blocks, details, facts, mounts, search, sequence, statements, traverse, values
 from ..sources import app_tables as A, migrations, schema, templates
 from ..sources.driver_tables import read
 from .queries import QUERIES, SQL
@@ -665,3 +665,15 @@ def block_dominators(spark, d):
 def method_scopes(spark, d):
     """Methods that each block of a function runs under, where the function tests the method."""
     return blocks.method_scopes(*_blocks(spark, d))
+
+
+@register("""SELECT id, 0::INTEGER AS part, 0::INTEGER AS at, '  ' || name || ' {' AS line FROM nodes WHERE kind = 'sql_table' UNION ALL SELECT id, 2, 0, '  }' FROM nodes WHERE kind = 'sql_table'
+ UNION ALL SELECT c.parent, 1, c.start_line, '    ' || c.detail || ' ' || c.name || ' ' || concat_ws(',', CASE c.flag WHEN 'true' THEN 'PK' END, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'fk' AND e.src = c.parent AND e.col = c.name) THEN 'FK' END)
+  FROM nodes c WHERE c.kind = 'sql_column' AND c.parent IN (SELECT id FROM nodes WHERE kind = 'sql_table')
+ UNION ALL SELECT e.src, 3, 0, '  ' || s.name || ' }o--|| ' || t.name || ' : "' || e.col || CASE e.op WHEN 'delete' THEN ' on delete cascade' ELSE '' END || '"' FROM edges e JOIN nodes s ON s.id = e.src AND s.kind = 'sql_table' JOIN nodes t ON t.id = e.dst AND t.kind = 'sql_table' WHERE e.kind = 'fk'""")
+def er_bodies(spark, d):
+    """Tables with their columns, keys and references as lines of a diagram."""
+    n = _nodes(spark, d, "sql_table", "sql_column")
+    columns = n.filter("kind = 'sql_column'").select(F.col("parent").alias("table"), "name", F.col("detail").alias("type"), (F.col("flag") == "true").alias("primary"), F.col("start_line").alias("at"))
+    fk = A.edges(spark, d).filter("kind = 'fk'").select("src", "dst", F.col("col").alias("columns"), F.when(F.col("op") == "delete", "cascade").otherwise("").alias("on_delete"))
+    return sequence.er_bodies(n.filter("kind = 'sql_table'").select("id", "name"), columns, fk)
