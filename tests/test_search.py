@@ -3,9 +3,11 @@
 import math
 import random
 
+import duckdb
 import pytest
 
 from routeloom.operators import details, search
+from routeloom.plans import queries as Q
 
 SCHEMA = "id string, kind string, name string, package string, file string, detail string"
 NODES = [
@@ -114,3 +116,41 @@ def test_ambiguous_names_list_ten(spark):
     assert (got["Save1"].status, got["Save1"].candidates, got["Save1"].more) == ("ambiguous", "func:b.Save1,func:c.Save1", False)
     assert got["b.Save"].id == "func:b.Save1"
     assert details.resolve(nodes.limit(0), spark.createDataFrame([("x",)], "name string")).first().status == "not found"
+
+
+def test_weights_of_columns_rank_short_terms(nodes):
+    got = lambda *a: [(r.id.split(":")[1], r.score) for r in search.weighted(nodes, *a).collect()]
+    assert got("PE", ["func", "method", "sql_table"]) == [("(*shop.Store).Pets", 12), ("shop.ListPets", 12), ("pets", 11), ("owners", 1)]
+    assert got("s op") == [("(*shop.Store).Pets", 18), ("shop.ListPets", 17), ('shop.Quo"te', 6)]
+    assert got("s op", ["type", "func"], 1) == [("shop.ListPets", 17)]
+    assert got("  ") == got("pets zq") == []
+
+
+PARTS = [(1, "pan", "e"), (2, "a long canoe", "x"), (3, "tin", "ANE"), (4, None, "ane"), (5, "wane", None), (6, "dane", "ANE"), (7, "zzz", "e"), (8, "mane", "ANE")]
+
+
+@pytest.fixture(scope="module")
+def few(tmp_path_factory):
+    """Tables of a few nodes, some without a name or a detail, and a connection that sees them."""
+    con, folder = duckdb.connect(), str(tmp_path_factory.mktemp("few"))
+    rows = ", ".join(f"({k}, {'NULL' if n is None else repr(n)}, {'NULL' if t is None else repr(t)})" for k, n, t in PARTS)
+    con.execute(f"create table part as select k::BIGINT AS p_partkey, n AS p_name, t AS p_type from (values {rows}) v(k, n, t)")
+    con.execute("create table customer as select k::BIGINT AS c_custkey, n AS c_name, k::BIGINT AS c_nationkey, 'BUILDING' AS c_mktsegment from (values (1, 'Jane'), (2, 'Customer'), (3, 'An')) v(k, n)")
+    con.execute("create table orders as select 1::BIGINT AS o_orderkey, 1::BIGINT AS o_custkey, 'F' AS o_orderstatus")
+    con.execute("create table lineitem as select 1::BIGINT AS l_orderkey, 1::BIGINT AS l_linenumber, 1::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, 'A' AS l_returnflag")
+    for t in ("part", "customer", "orders", "lineitem"):
+        con.execute(f"copy {t} to '{folder}/{t}.parquet' (format parquet)")
+    return con, folder
+
+
+def test_search_ranked_scores_every_node(spark, few):
+    con, folder = few
+    got = [(r.id, r.score) for r in Q.QUERIES["search_ranked"](spark, folder).collect()]
+    assert got == [("sql_table:6", 23), ("sql_table:8", 23), ("sql_table:2", 21), ("func:1", 20), ("sql_table:1", 12), ("sql_table:3", 3), ("sql_table:5", None), ("sql_table:4", None)]
+
+
+@pytest.mark.parametrize("name", ["search_ranked", "search_short"])
+def test_searches_stand_in_the_order_of_sql(spark, few, name):
+    con, folder = few
+    got = [tuple(r) for r in Q.QUERIES[name](spark, folder).select("id", "kind", "name", "score").collect()]
+    assert got and got == con.sql(Q.SQL[name]).fetchall()
