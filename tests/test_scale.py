@@ -30,3 +30,29 @@ def test_covered_equals_brute_force(spark):
 def test_covered_of_many_alike(spark):
     rows = spark.range(40000).select(F.col("id").alias("module"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("dir"))
     assert [tuple(r) for r in within(spark, 60, lambda: facts.covered(rows).collect())] == [(0, 6)]
+
+
+def test_implements_and_dispatch_equal_brute_force(spark):
+    rng = random.Random(2)
+    types = {(t, rng.choice("abcdef")) for t in range(50) for _ in range(rng.randint(1, 6))} | {(0, None), (None, "a")}
+    faces = {(i, rng.choice("abcdef")) for i in range(40) for _ in range(rng.randint(1, 3))} | {(1, None), (2, "unheard")}
+    has = lambda rows, k: {m for n, m in rows if n == k}
+    related = {(t, i) for t in {t for t, _ in types} for i in {i for i, _ in faces} if None not in has(faces, i) and has(faces, i) <= has(types, t)}
+    t = spark.createDataFrame([*types, *types], "type int, method string")
+    i = spark.createDataFrame([*faces, *faces], "interface int, method string")
+    got = facts.implements(t, i).collect()
+    assert {tuple(r) for r in got} == related and len(got) == len(related)
+    # some calls stand twice, and some methods serve several types or names
+    calls = [(c, rng.randrange(40), rng.choice("abcdef")) for c in range(60)] + [(c, rng.randrange(40), "a") for c in range(20)]
+    methods = [(k, m, rng.choice([f"{k}.{m}", m, "same"])) for k, m in types if k is not None and m]
+    own = [(n,) for n in range(0, 50, 3)]
+    relation = spark.createDataFrame([r for r in related if r[0] is not None], "type int, interface int")
+    for these, those in ((calls, methods), (calls[:60], [(k, m, f"{k}.{m}") for k, m, _ in methods])):
+        found = facts.dispatch(spark.createDataFrame(these, "call int, interface int, name string"), relation, spark.createDataFrame(those, "type int, name string, method string"), spark.createDataFrame(own, "name int")).collect()
+        want = {(c, x) for c, f, n in these for k, m, x in those if m == n and (k, f) in related and (f % 3 == 0 or k % 3 == 0)}
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_implements_of_many_alike(spark):
+    many = lambda n, key: spark.range(n).select(F.col("id").alias(key), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("method"))
+    assert within(spark, 90, lambda: facts.implements(many(15000, "type"), many(15000, "interface")).count()) == 15000 * 15000
