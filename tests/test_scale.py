@@ -5,7 +5,7 @@ import threading
 
 from pyspark.sql import functions as F
 
-from routeloom.operators import facts
+from routeloom.operators import facts, statements
 
 
 def within(spark, seconds, run):
@@ -56,3 +56,12 @@ def test_implements_and_dispatch_equal_brute_force(spark):
 def test_implements_of_many_alike(spark):
     many = lambda n, key: spark.range(n).select(F.col("id").alias(key), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("method"))
     assert within(spark, 90, lambda: facts.implements(many(15000, "type"), many(15000, "interface")).count()) == 15000 * 15000
+
+
+def test_a_text_is_read_once(spark, monkeypatch):
+    seen, tokens = [], statements.tokens
+    monkeypatch.setattr(statements, "tokens", lambda df: (seen.append(df.count()), tokens(df))[1])
+    texts = ["select a from t", "delete from u where", None]
+    got = statements.analyse(spark.createDataFrame([(i, texts[i % 3]) for i in range(30)], "id int, sql string")).collect()
+    assert seen == [3]
+    assert {(r.id, r.ops, r.tables, r.broken) for r in got} == {(i, *[("select", "t:select[a]", False), ("delete", "u:delete[]", True), ("", "", False)][i % 3]) for i in range(30)} and len(got) == 30
