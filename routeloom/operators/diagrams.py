@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .flow import by_root
+
 
 def label(text: Column) -> Column:
     """Text inside quotes of a diagram."""
@@ -45,9 +46,13 @@ def site_map_lines(routes: DataFrame, moves: DataFrame) -> DataFrame:
 def sequence_lines(trees: DataFrame) -> DataFrame:
     """(root, step, line): one call for each step of flow trees, between the lanes of caller and callee (kind of a node)."""
     lane = lambda c: F.regexp_replace(F.substring_index(c, ":", 1), r"[^A-Za-z0-9]", "_")
-    callers = trees.select(F.col("root").alias("_root"), F.col("step").alias("_step"), F.col("node").alias("_node"))
-    rows = trees.join(callers, (F.col("root") == F.col("_root")) & (F.col("parent") == F.col("_step")), "left")
-    source = F.coalesce(F.col("_node"), F.col("root"))
+
+    def called(root: str, rows: list[tuple]) -> list[tuple]:
+        nodes = {step: node for step, _, node in rows}
+        return [(root, step, node, nodes.get(parent)) for step, parent, node in rows]
+
+    rows = by_root(trees, ["step"], ["step", "parent", "node"], called, "root string, step int, node string, caller string")
+    source = F.coalesce(F.col("caller"), F.col("root"))
     return rows.select("root", "step", F.concat(lane(source), F.lit("->>"), lane(F.col("node")), F.lit(": "), label(F.col("node"))).alias("line"))
 
 
@@ -57,15 +62,14 @@ _MARKS = {"cycle": " (recursive)", "ref": " (see above)", "truncated": " (depth
 def tree_lines(trees: DataFrame) -> DataFrame:
     """(root, step, line): flow trees (root, step, parent, depth, node, mark, calls) drawn with branches, one tree at a time."""
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        last = pdf.groupby("parent")["step"].max().to_dict()
+    def draw(root: str, rows: list[tuple]) -> list[tuple]:
+        last = {parent: step for step, parent, *_ in rows}
         stem: dict[int, str] = {-1: ""}
         lines = []
-        for step, parent, node, mark, calls in zip(pdf["step"], pdf["parent"], pdf["node"], pdf["mark"], pdf["calls"]):
+        for step, parent, node, mark, calls in rows:
             ends = last[parent] == step
             stem[step] = stem[parent] + ("    " if ends else "│   ")
-            lines.append(stem[parent] + ("└── " if ends else "├── ") + node + (f" ×{calls}" if calls > 1 else "") + _MARKS.get(mark, ""))
-        return pd.DataFrame({"root": pdf["root"], "step": pdf["step"], "line": lines})
+            lines.append((root, step, stem[parent] + ("└── " if ends else "├── ") + node + (f" ×{calls}" if calls > 1 else "") + _MARKS.get(mark, "")))
+        return lines
 
-    return trees.groupBy("root").applyInPandas(draw, "root string, step int, line string")
+    return by_root(trees, ["step"], ["step", "parent", "node", "mark", "calls"], draw, "root string, step int, line string")

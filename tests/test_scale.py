@@ -5,7 +5,8 @@ import threading
 
 from pyspark.sql import functions as F
 
-from routeloom.operators import facts, statements
+from routeloom.operators import diagrams, facts, flow, statements
+from routeloom.plans import queries
 
 
 def within(spark, seconds, run):
@@ -65,3 +66,19 @@ def test_a_text_is_read_once(spark, monkeypatch):
     got = statements.analyse(spark.createDataFrame([(i, texts[i % 3]) for i in range(30)], "id int, sql string")).collect()
     assert seen == [3]
     assert {(r.id, r.ops, r.tables, r.broken) for r in got} == {(i, *[("select", "t:select[a]", False), ("delete", "u:delete[]", True), ("", "", False)][i % 3]) for i in range(30)} and len(got) == 30
+
+
+def test_trees_need_no_group_in_pandas(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandas", None, raising=False)
+    rows = [(r, s, d, k, o) for r in ("r1", "r2") for s, d, k, o in ((r, "f", "calls", ""), ("f", "g", "calls", ""), ("f", "sink.sql:1", "calls", ""), ("g", "f", "calls", ""), ("sink.sql:1", "t", "queries", "select"), ("g", "sink.sql:1", "calls", ""))]
+    trees = flow.trees(spark.createDataFrame(rows, "root string, src string, dst string, kind string, op string"))
+    steps = [(0, -1, 1, "f", "", 1, ""), (1, 0, 2, "g", "", 1, ""), (2, 1, 3, "sink.sql:1", "sink", 1, "select t"), (3, 0, 2, "sink.sql:1", "sink", 1, "select t")]
+    assert {tuple(r) for r in trees.collect()} == {(r, *s) for r in ("r1", "r2") for s in steps}
+    drawn = {(r.step, r.line) for r in diagrams.tree_lines(trees).filter("root = 'r1'").collect()}
+    assert drawn == {(0, "└── f"), (1, "    ├── g"), (2, "    │   └── sink.sql:1"), (3, "    └── sink.sql:1")}
+    assert [r.line for r in diagrams.sequence_lines(trees).filter("root = 'r2'").orderBy("step").collect()] == ["r2->>f: f", "f->>g: g", "g->>sink_sql: sink.sql:1", "f->>sink_sql: sink.sql:1"]
+
+
+def test_uses_of_trees_draw_no_tree(spark, monkeypatch):
+    monkeypatch.delattr(flow, "trees")
+    assert queries.QUERIES["flow_tree_tables"](spark, "/root/testdata/sf0.001").count() > 0
