@@ -5,8 +5,8 @@ import threading
 
 from pyspark.sql import functions as F
 
-from routeloom.operators import diagrams, facts, flow, statements
-from routeloom.plans import queries
+from routeloom.operators import diagrams, facts, flow, search, statements, traverse
+from routeloom.plans import app_queries, queries
 
 
 def within(spark, seconds, run):
@@ -82,3 +82,17 @@ def test_trees_need_no_group_in_pandas(spark, monkeypatch):
 def test_uses_of_trees_draw_no_tree(spark, monkeypatch):
     monkeypatch.delattr(flow, "trees")
     assert queries.QUERIES["flow_tree_tables"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_routes_of_a_table_are_found_backward(spark, monkeypatch):
+    roots, closure = [], traverse.closure
+    monkeypatch.setattr(traverse, "closure", lambda seeds, *a, **k: (roots.append({r.root for r in seeds.select("root").collect()}), closure(seeds, *a, **k))[1])
+    assert app_queries.QUERIES["routes_touching_table"](spark, "/root/testdata/sf0.001").count() > 0
+    assert roots == [{"sql_table:s3"}]
+
+
+def test_rare_term_beside_a_common_one(spark):
+    nodes = spark.range(40000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.lit("func").alias("kind"), F.format_string("common %06d", "id").alias("name"))
+    asked = spark.range(2500).select(F.col("id").alias("query"), F.format_string("common %06d", F.col("id") * 7).alias("text"))
+    got = within(spark, 100, lambda: search.search_all(search.build(nodes), asked).collect())
+    assert len(got) == 2500 and all(r.id == f"n{r.query * 7}" and r.rank == 1 and r.score > 0 for r in got)
