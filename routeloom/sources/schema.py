@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.flow import by_root
 from ..operators.statements import cleaned, plain
 
 _NAME = r'(?:[A-Za-z_][\w$]*+|"[^"]+")'
@@ -94,6 +94,7 @@ def changes(files: DataFrame) -> DataFrame:
     return rows.select("db", "seq", "n", F.posexplode(found).alias("i", "c")).select("db", "seq", "n", "i", "c.*")
 
 
+_END = "\x01"  # stands in no name
 STATE = "table string, part string, at int, name string, columns string, type string, detail string"
 
 
@@ -146,11 +147,17 @@ def replayed(rows: list[dict]) -> list[tuple]:
 
 def replay(files: DataFrame) -> DataFrame:
     """(db, table, part, at, ...): the schema of each database after all its files (db, seq, sql), which are replayed as one group."""
-    rows = changes(files)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "n", "i"])
-        found = replayed(pdf.to_dict("records"))
-        return pd.DataFrame([(pdf["db"].iloc[0], *r) for r in found], columns=["db", *(c.split()[0] for c in STATE.split(", "))])
-
-    return rows.groupBy("db").applyInPandas(run, f"db {files.schema['db'].dataType.simpleString()}, {STATE}")
+    names = [c.split()[0] for c in CHANGE.split(", ")]
+    lists = ("columns", "parent_columns")
+    joined = [F.array_join(F.transform(c, lambda x: F.concat(x, F.lit(_END))), "").alias(c) for c in lists]  # plain texts are handed on faster than arrays
+    spread = files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism)  # a small table of texts is much work to read
+    rows = changes(spread).select("db", "seq", "n", "i", *[c for c in names if c not in lists], *joined)
+    given = [c for c in rows.columns if c not in ("db", "i")]
+
+    def run(db, found: list[tuple]) -> list[tuple]:
+        made = [dict(zip(given, r)) for r in found]
+        for c in made:
+            c |= {k: c[k].split(_END)[:-1] for k in lists}
+        return [(db, *r) for r in replayed(made)]
+
+    return by_root(rows, ["seq", "n", "i"], given, run, f"db {files.schema['db'].dataType.simpleString()}, {STATE}", "db")

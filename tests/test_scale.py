@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from routeloom.operators import diagrams, facts, flow, search, statements, traverse
 from routeloom.plans import app_queries, queries
+from routeloom.sources import schema
 
 
 def within(spark, seconds, run):
@@ -96,3 +97,10 @@ def test_rare_term_beside_a_common_one(spark):
     asked = spark.range(2500).select(F.col("id").alias("query"), F.format_string("common %06d", F.col("id") * 7).alias("text"))
     got = within(spark, 100, lambda: search.search_all(search.build(nodes), asked).collect())
     assert len(got) == 2500 and all(r.id == f"n{r.query * 7}" and r.rank == 1 and r.score > 0 for r in got)
+
+
+def test_replay_needs_no_group_in_pandas(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandas", None, raising=False)
+    files = [(2, 1, "CREATE TABLE a (id int PRIMARY KEY, up int REFERENCES b (id), UNIQUE (id, up))"), (1, 1, "CREATE TABLE a (x int)"), (1, 2, "ALTER TABLE a RENAME COLUMN x TO y")]
+    got = {(r.db, r.part, r["at"], r.name, r["columns"], r.type, r.detail) for r in schema.replay(spark.createDataFrame(files, "db long, seq int, sql string")).collect()}
+    assert got == {(1, "column", 0, "y", "", "int4", ""), (2, "column", 0, "id", "", "int4", "not null"), (2, "column", 1, "up", "", "int4", ""), (2, "primary", 0, "", "id", "", ""), (2, "reference", 0, "", "up", "b", "id"), (2, "index", 0, "", "id,up", "", "unique")}
